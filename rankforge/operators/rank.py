@@ -45,27 +45,34 @@ def rank_within(df: DataFrame, group_cols, score_col: str = "score",
     return df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
 
 
-def full_rank(df: DataFrame, score_col: str = "score", id_col: str = "candidate_id",
-              rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """W1 over one huge pool: global 1..N without a single-task window."""
+def global_row_number(df: DataFrame, order, out_col: str = "rank",
+                      num_partitions: int | None = None) -> DataFrame:
+    """1..N in the given total order without a single-task window.
+
+    The range-partitioned sort is written to the checkpoint folder once, so
+    the per-partition counts and the numbering see the same partitions."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order_cols(score_col, id_col))
-                 .sortWithinPartitions(*order_cols(score_col, id_col))
+    ordered = (df.repartitionByRange(n, *order)
+                 .sortWithinPartitions(*order)
                  .withColumn("_pid", F.spark_partition_id())
                  .withColumn("_mid", F.monotonically_increasing_id()))
-    # materialise once so both uses below see the same sorted partitions
     ordered = cut_lineage(ordered)
     starts = (ordered.groupBy("_pid")
                      .agg(F.count("*").alias("_n"), F.min("_mid").alias("_first")))
     wcum = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count
     offsets = starts.withColumn("_off", F.coalesce(F.sum("_n").over(wcum), F.lit(0)))
-    out = (ordered.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
-                  .withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_first") + 1)
-                              .cast("bigint"))
-                  .drop("_pid", "_mid", "_off", "_first"))
-    return out
+    return (ordered.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
+                   .withColumn(out_col, (F.col("_off") + F.col("_mid") - F.col("_first") + 1)
+                               .cast("bigint"))
+                   .drop("_pid", "_mid", "_off", "_first"))
+
+
+def full_rank(df: DataFrame, score_col: str = "score", id_col: str = "candidate_id",
+              rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
+    """W1 over one huge pool: global 1..N by score desc, id asc."""
+    return global_row_number(df, order_cols(score_col, id_col), rank_col, num_partitions)
 
 
 def shortlist_columns(df: DataFrame, score_col: str = "score") -> DataFrame:
