@@ -25,9 +25,16 @@ def order_cols(score_col: str = "score", id_col: str = "candidate_id"):
     return [F.col(score_col).desc_nulls_last(), F.col(id_col).cast("string").asc_nulls_last()]
 
 
+def round_half_even(c, decimals: int) -> F.Column:
+    """numpy-style rounding: rint(x * 10^d) / 10^d (half-even on the binary
+    value of the scaled number, like ``np.round``)."""
+    scale = float(10 ** decimals)
+    return F.rint(c.cast("double") * F.lit(scale)) / F.lit(scale)
+
+
 def round6(c) -> F.Column:
     """Six-decimal half-even rounding."""
-    return F.bround(c.cast("double"), 6)
+    return round_half_even(c, 6)
 
 
 def top_k(df: DataFrame, k: int, score_col: str = "score", id_col: str = "candidate_id",
