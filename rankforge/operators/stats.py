@@ -231,3 +231,38 @@ def stats_from_frame(df: DataFrame, kind: str) -> dict:
     for r in df.where(F.col("kind") == kind).collect():
         out[r["column"]] = (r["a"], r["b"]) if r["b"] is not None else r["a"]
     return out
+
+
+# ---------------------------------------------------------------------------
+# fused fit: medians + the min/max the imputed columns will have
+# ---------------------------------------------------------------------------
+
+def fit_impute_and_scale(df: DataFrame, cols: Sequence[str], method: str = "auto",
+                         in_memory_rows: int = 5_000_000) -> tuple[dict, dict]:
+    """Medians (A1) and the min-max statistics (A5) of the median-filled
+    columns, from one algebraic pass plus the median pass.
+
+    Filling NULL/NaN with the median m changes a column's range only by
+    adding m, so min(filled) = min(min(x), m) when anything was missing
+    (max likewise) - exact, and no pass over the filled data is needed."""
+    cols = list(cols)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        x = nan_to_null(F.col(c))
+        aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.count(x).alias(f"n{i}")]
+    row = df.agg(*aggs).collect()[0]
+    rows = row["_rows"]
+    if method == "auto":
+        method = "in_memory" if rows <= in_memory_rows else "distributed"
+    medians = fit_medians(df, cols, method=method, in_memory_rows=in_memory_rows)
+    ranges = {}
+    for i, c in enumerate(cols):
+        m = medians[c]
+        mn, mx, n = row[f"mn{i}"], row[f"mx{i}"], row[f"n{i}"]
+        if n == 0:
+            mn = mx = m
+        elif n < rows:
+            mn, mx = min(float(mn), m), max(float(mx), m)
+        rng = float(mx) - float(mn)
+        ranges[c] = (float(mn), rng if rng != 0.0 else 1.0)
+    return medians, ranges

@@ -13,6 +13,7 @@ from ..config import RankConfig
 from ..functions.vectors import cosine, literal_vector
 from ..operators import stats as S
 from ..operators.features import apply_intent, fit_intent
+from ..session import cut_lineage
 from .bindings import EVENT_TYPES, Bindings
 
 SLICE_COLS = ("years_of_experience", *[f"n_{t}" for t in EVENT_TYPES], "avg_value",
@@ -33,11 +34,15 @@ def slice_imputed(b: Bindings, cfg: RankConfig = RankConfig(), method: str = "au
 def slice_scored(spark, sf_dir: str, cfg: RankConfig = RankConfig(),
                  method: str = "auto") -> DataFrame:
     """candidate_id, c_custkey, cosine_similarity, intent_score, score (unrounded),
-    plus the scaled columns ``s_*``."""
+    plus the scaled columns ``s_*``.
+
+    The assembled frame is materialised once in the checkpoint folder: the
+    statistics pass, the median pass and the scoring pass all read it."""
     b = Bindings(spark, sf_dir)
-    imp = slice_imputed(b, cfg, method)
-    stats = fit_intent(imp, SLICE_COLS)
-    scored = apply_intent(imp, stats)
+    raw = cut_lineage(slice_raw(b))
+    medians, stats = S.fit_impute_and_scale(raw, SLICE_COLS, method=method,
+                                            in_memory_rows=cfg.in_memory_quantile_rows)
+    scored = apply_intent(S.apply_medians(raw, medians), stats)
     job = literal_vector(b.job_vector(0))
     with_vec = scored.join(b.capvec(), "c_custkey", "left")
     cos = cosine(F.col("embedding"), job)
