@@ -86,15 +86,18 @@ class Bindings:
             (F.col("o_orderstatus") == "O").alias("is_current"))
 
     # -- skills --------------------------------------------------------------
-    def skill_rows(self) -> DataFrame:
-        """Distinct (c_custkey, skill) pairs: orders -> lineitem -> part."""
+    def skill_pairs(self) -> DataFrame:
+        """(c_custkey, skill) per line item: orders -> lineitem -> part."""
         o = self.t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
         li = self.t.lineitem.select("l_orderkey", "l_partkey")
         p = self.t.part.select("p_partkey", "p_name")
         return (li.join(o, li.l_orderkey == o.o_orderkey)
                   .join(p, li.l_partkey == p.p_partkey)
-                  .select("c_custkey", F.col("p_name").alias("skill"))
-                  .distinct())
+                  .select("c_custkey", F.col("p_name").alias("skill")))
+
+    def skill_rows(self) -> DataFrame:
+        """Distinct (c_custkey, skill) pairs."""
+        return self.skill_pairs().distinct()
 
     # -- text and vectors ----------------------------------------------------
     def captext(self) -> DataFrame:

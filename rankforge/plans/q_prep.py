@@ -126,10 +126,11 @@ SKILLS_SQL = """skills AS (
 def skills_table(b: Bindings):
     """c_custkey, skills_raw: sorted distinct skill names joined by ', '.
 
-    Pairs are de-duplicated before grouping (map-side), so a customer with a
-    third of all line items contributes one row per distinct skill."""
-    return (b.skill_rows().groupBy("c_custkey")
-             .agg(F.array_join(F.array_sort(F.collect_list("skill")), ", ").alias("skills_raw")))
+    ``collect_set`` de-duplicates map-side, so one shuffle carries at most
+    one partial set per customer and task, even for a customer holding a
+    third of all line items."""
+    return (b.skill_pairs().groupBy("c_custkey")
+             .agg(F.array_join(F.array_sort(F.collect_set("skill")), ", ").alias("skills_raw")))
 
 
 def _profile_frame(b: Bindings):

