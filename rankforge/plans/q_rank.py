@@ -326,9 +326,14 @@ SELECT candidate_id, cosine_similarity AS score,
 FROM r ORDER BY rank LIMIT {CFG.top_k}
 """)
 def zero_shot(spark, sf_dir):
-    """Without a fitted model the score is the cosine."""
-    s = scored_r6(spark, sf_dir).select("candidate_id", F.col("cosine_similarity").alias("score"))
-    return take_top(s, CFG.top_k).select("candidate_id", "score", "rank")
+    """M14/M12 through the one-call ranking: without labels there is no
+    model and the score is the cosine."""
+    from .pipeline import rank_candidates
+    b = Bindings(spark, sf_dir)
+    cands = slice_imputed(b, CFG).join(b.capvec(), "c_custkey", "left")
+    res = rank_candidates(cands, b.job_vector(0), vec_col="embedding", intent_cols=SLICE_COLS,
+                          label_col=None, cfg=CFG)
+    return res.shortlist.select("candidate_id", "score", "rank")
 
 
 @query("contract_check", f"""
