@@ -53,3 +53,19 @@ def test_labelled_ranking_and_sinks(spark, cands):
     ex = scratch_path(spark, "t-explained")
     sinks.write_explained(res.ranked.drop("embedding"), ex)
     assert spark.read.parquet(ex).count() == df.count()
+
+
+def test_explain_shortlist_defaults_and_enrichment(spark):
+    from rankforge.operators.explain import explain_shortlist
+    short = spark.createDataFrame([("A", 1, 3.0), ("B", 2, 0.1)], "candidate_id string, rank int, score double")
+    enriched = spark.createDataFrame([("A", 0.5, 1.0, 9.0), ("C", 0.1, 2.0, 1.0)],
+                                     "candidate_id string, promotion_velocity double, "
+                                     "avg_tenure_per_role double, total_career_duration double")
+    out = {r["candidate_id"]: r["rationale"] for r in explain_shortlist(short, enriched).collect()}
+    assert set(out) == {"A", "B"}
+    from rankforge.functions import reasons as R
+    a = out["A"]
+    assert any(p in a for p in R.VEL_HIGH_POOL) and any(p in a for p in R.DUR_LONG_POOL)
+    assert any(p in a for p in R.CONCLUSION_POOLS["ELITE"])
+    assert any(p in out["B"] for p in R.SIM_POOLS["LOW"])
+    assert not any(p in out["B"] for p in R.VEL_HIGH_POOL + R.VEL_LOW_POOL)
