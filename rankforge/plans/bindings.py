@@ -25,13 +25,15 @@ def candidate_id(custkey) -> F.Column:
     return F.concat(F.lit("CAND_"), F.lpad(F.col(custkey).cast("string"), 7, "0"))
 
 
-def ref_micros(ref_date: str = REF_DATE) -> F.Column:
-    return F.unix_micros(F.to_timestamp(F.lit(ref_date)))
+def days_before_ref(ts_col: F.Column, ref_date: str = REF_DATE) -> F.Column:
+    """Fractional days from a timestamp to the reference date, on wall-clock
+    (TIMESTAMP_NTZ) values, so the session time zone plays no part."""
+    return days_between(ts_col, F.to_timestamp_ntz(F.lit(ref_date)))
 
 
-def days_before_ref(ts_col: F.Column, ref_date: str = REF_DATE) -> F.Column:
-    """Fractional days from a timestamp to the reference date."""
-    return (ref_micros(ref_date) - F.unix_micros(ts_col.cast("timestamp"))) / F.lit(86400e6)
+def days_between(start: F.Column, end: F.Column) -> F.Column:
+    micros = F.timestamp_diff("MICROSECOND", start.cast("timestamp_ntz"), end.cast("timestamp_ntz"))
+    return micros / F.lit(86400e6)
 
 
 class Bindings:
