@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PII_COLUMNS, RankConfig
 from ..functions import variant as V
-from ..functions.text import month_diff, normalize_text, parse_partial_date
+from ..functions.text import month_diff, parse_partial_date
 from ..operators import clean, stats as S
 from ..operators.career import trajectory_basic_by_role, trajectory_by_role
 from ..operators.features import add_missing_columns, numeric_feature_columns

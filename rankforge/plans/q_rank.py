@@ -4,12 +4,10 @@ W1-W3, T7-T13, J1, J2, S8, S11, S12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import RankConfig
 from ..functions import reasons as R
-from ..functions import variant as V
 from ..functions.vectors import blank_to_zero_vector, cosine, literal_vector, norm
 from ..operators import stats as S
 from ..operators.career import trajectory_by_role

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import RankConfig
 from ..functions.vectors import cosine, literal_vector
 from ..operators import stats as S
-from ..operators.features import apply_intent, fit_intent
+from ..operators.features import apply_intent
 from ..session import cut_lineage
 from .bindings import EVENT_TYPES, Bindings
 
