@@ -12,11 +12,14 @@ from ..operators import stats as S
 from ..operators.features import apply_intent, fit_intent
 from ..operators.rank import round6, top_k
 from ..session import scratch_path
-from ..streaming.stream import latest_per_key, read_sink, run_available_now, text_stream
+from ..operators import ltr
+from ..operators.labels import weak_labels
+from ..streaming.stream import read_sink, run_available_now, score_stream, text_stream
 from .bindings import Bindings
 from .queries import MINIMAL_SLICE_SQL
 from .registry import query
-from .slice import SLICE_COLS, slice_raw
+from .q_jobs import JOB_ROUNDS
+from .slice import SLICE_COLS, slice_raw, slice_scored
 
 CFG = RankConfig()
 
@@ -72,7 +75,53 @@ def stream_score(spark, sf_dir):
                         round6(F.col("cosine_similarity")).alias("cosine_similarity"),
                         round6(F.col("intent_score")).alias("intent_score"))
 
-    run_available_now(rows, sink, ckpt, score)
-    table = latest_per_key(read_sink(spark, sink), "candidate_id")
+    table = score_stream(rows, score, sink, ckpt)
     return top_k(table, CFG.top_k).select("candidate_id", "rank", "score", "cosine_similarity",
                                           "intent_score")
+
+
+def _candidate_stream(spark, raw):
+    """Write candidate rows as JSON-lines files and open a stream over them."""
+    src = scratch_path(spark, "cand-in")
+    raw.select(F.to_json(F.struct("candidate_id", "c_custkey", *SLICE_COLS)).alias("value")) \
+       .repartition(3).write.text(src)
+    v = F.try_parse_json("value")
+    return text_stream(spark, src, 1).select(
+        F.try_variant_get(v, "$.candidate_id", "string").alias("candidate_id"),
+        F.try_variant_get(v, "$.c_custkey", "bigint").alias("c_custkey"),
+        *[F.try_variant_get(v, f"$.{c}", "double").alias(c) for c in SLICE_COLS])
+
+
+def model_scorer(b, medians, stats, model):
+    """Frozen per-row scoring: medians -> scaler -> cosine -> model."""
+    job = literal_vector(b.job_vector(0))
+
+    def score(df):
+        s = apply_intent(S.apply_medians(df, medians), stats)
+        s = s.join(b.capvec(), "c_custkey", "left")
+        s = s.withColumn("cosine_similarity", cosine(F.col("embedding"), job)).drop("embedding")
+        s = ltr.score(s, model, "score")
+        return s.select("candidate_id", round6(F.col("score")).alias("score"))
+    return score
+
+
+def fit_slice_model(spark, sf_dir, rounds=JOB_ROUNDS):
+    """Batch side of ST2: medians, scaler and a model fitted on the table."""
+    b = Bindings(spark, sf_dir)
+    raw = slice_raw(b)
+    medians = S.fit_medians(raw, SLICE_COLS)
+    stats = fit_intent(S.apply_medians(raw, medians), SLICE_COLS)
+    lab, _ = weak_labels(slice_scored(spark, sf_dir, CFG), probs=CFG.label_quantiles)
+    feats = ["cosine_similarity", *[f"s_{c}" for c in SLICE_COLS]]
+    model = ltr.fit_pointwise(lab, feats, "label", CFG, rounds=rounds)
+    return b, raw, medians, stats, model
+
+
+@query("stream_model_score")
+def stream_model_score(spark, sf_dir):
+    """ST2 with a model: the stream is scored by a boosted model fitted on
+    the batch table (frozen), upserted per micro-batch, top-k read back."""
+    b, raw, medians, stats, model = fit_slice_model(spark, sf_dir)
+    sink, ckpt = scratch_path(spark, "model-out"), scratch_path(spark, "model-ckpt")
+    table = score_stream(_candidate_stream(spark, raw), model_scorer(b, medians, stats, model), sink, ckpt)
+    return top_k(table, CFG.top_k).select("candidate_id", "rank", "score")

@@ -62,3 +62,14 @@ def latest_per_key(table: DataFrame, key: str, batch_col: str = "_batch") -> Dat
     cols = [c for c in table.columns if c not in (key, batch_col, "batch")]
     last = table.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(batch_col)).alias("_r"))
     return last.select(key, "_r.*")
+
+
+def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink_path: str,
+                 checkpoint_path: str, key: str = "candidate_id",
+                 timeout_s: float | None = None) -> DataFrame:
+    """ST2: score every arriving row with FROZEN state captured in ``score``
+    (medians, scaler, model, target vector - all fitted on a batch table),
+    upsert each micro-batch into the scored table, and return the upsert
+    view (latest row per key), from which a top-k is read."""
+    run_available_now(stream, sink_path, checkpoint_path, score, timeout_s)
+    return latest_per_key(read_sink(stream.sparkSession, sink_path), key)
