@@ -135,6 +135,7 @@ class RankConfig:
     column_sample: float = 0.8
     pair_top: int = 30
     seed: int = 42
-    # exact quantiles switch to a distributed selection above this many rows
-    in_memory_quantile_rows: int = 5_000_000
+    # exact quantiles switch to a distributed selection above this many
+    # values (rows x columns) held by the final percentile task
+    in_memory_quantile_rows: int = 20_000_000
     pii_columns: tuple = field(default=PII_COLUMNS)

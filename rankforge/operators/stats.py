@@ -71,80 +71,85 @@ def _distributed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[f
     spark = df.sparkSession
     # long format: (cidx, v) without nulls/NaN; one scan feeds every pass
     stack_args = ", ".join(f"{i}, `{c}`" for i, c in enumerate(cols))
+    # not persisted: a stacked copy would be len(cols) times the data.  Each
+    # pass re-reads only these columns; the stack fuses into the scan and the
+    # histogram is combined map-side, so every shuffle is tiny.
     long = (df.select(*[nan_to_null(F.col(c)).alias(c) for c in cols])
               .selectExpr(f"stack({len(cols)}, {stack_args}) as (cidx, v)")
               .where("v is not null"))
-    long = long.persist()
-    try:
-        first = long.groupBy("cidx").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
-                                         F.max("v").alias("hi")).collect()
-        stats = {r["cidx"]: (r["n"], r["lo"], r["hi"]) for r in first}
-        # probe: (cidx, target rank) -> [lo, hi, rank within range]
-        probes = {}
-        answers = {}
-        for i in range(len(cols)):
-            if i not in stats:
-                continue
-            n, lo, hi = stats[i]
-            for t in _targets(n, probs):
-                probes[(i, t)] = [lo, hi, t]
-        for _ in range(max_passes):
-            open_probes = {k: v for k, v in probes.items() if k not in answers}
-            for k, (lo, hi, _r) in list(open_probes.items()):
-                if lo == hi:
-                    answers[k] = lo
-                    del open_probes[k]
-            if not open_probes:
-                break
-            keys = list(open_probes)
-            probe_df = spark.createDataFrame(
-                [(pid, k[0], float(open_probes[k][0]), float(open_probes[k][1]))
-                 for pid, k in enumerate(keys)],
-                "pid int, cidx int, lo double, hi double")
-            joined = long.join(F.broadcast(probe_df), "cidx").where("v >= lo and v <= hi")
-            bucket = F.least(F.lit(buckets - 1),
-                             F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-                                     * F.lit(buckets)).cast("int"))
-            hist = (joined.groupBy("pid", bucket.alias("b"))
-                          .agg(F.count("*").alias("n"), F.min("v").alias("bmin"),
-                               F.max("v").alias("bmax"))
-                          .collect())
-            by_pid: dict[int, list] = {}
-            for r in hist:
-                by_pid.setdefault(r["pid"], []).append((r["b"], r["n"], r["bmin"], r["bmax"]))
-            small = []
-            for pid, k in enumerate(keys):
-                rank = open_probes[k][2]
-                seen = 0
-                for b, n, bmin, bmax in sorted(by_pid.get(pid, [])):
-                    if seen + n > rank:
-                        if bmin == bmax:
-                            answers[k] = bmin
-                        elif n <= final_rows:
-                            small.append((k, bmin, bmax, rank - seen))
-                        probes[k] = [bmin, bmax, rank - seen]
-                        break
-                    seen += n
-            for k, lo, hi, r in small:
-                vals = [row[0] for row in long.where((F.col("cidx") == k[0])
-                                                     & (F.col("v") >= lo) & (F.col("v") <= hi))
-                        .select("v").orderBy("v").collect()]
-                answers[k] = vals[r]
-        out = {}
-        for i, c in enumerate(cols):
-            if i not in stats:
-                out[c] = [None] * len(probs)
-                continue
-            n = stats[i][0]
-            at = {t: answers[(i, t)] for t in _targets(n, probs)}
-            out[c] = [_interp(at, n, p) for p in probs]
-        return out
-    finally:
-        long.unpersist()
+    first = long.groupBy("cidx").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
+                                     F.max("v").alias("hi")).collect()
+    stats = {r["cidx"]: (r["n"], r["lo"], r["hi"]) for r in first}
+    # probe: (cidx, target rank) -> [lo, hi, rank within range]
+    probes = {}
+    answers = {}
+    for i in range(len(cols)):
+        if i not in stats:
+            continue
+        n, lo, hi = stats[i]
+        for t in _targets(n, probs):
+            probes[(i, t)] = [lo, hi, t]
+    for _ in range(max_passes):
+        open_probes = {k: v for k, v in probes.items() if k not in answers}
+        for k, (lo, hi, _r) in list(open_probes.items()):
+            if lo == hi:
+                answers[k] = lo
+                del open_probes[k]
+        if not open_probes:
+            break
+        keys = list(open_probes)
+        probe_df = spark.createDataFrame(
+            [(pid, k[0], float(open_probes[k][0]), float(open_probes[k][1]))
+             for pid, k in enumerate(keys)],
+            "pid int, cidx int, lo double, hi double")
+        joined = long.join(F.broadcast(probe_df), "cidx").where("v >= lo and v <= hi")
+        bucket = F.least(F.lit(buckets - 1),
+                         F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+                                 * F.lit(buckets)).cast("int"))
+        hist = (joined.groupBy("pid", bucket.alias("b"))
+                      .agg(F.count("*").alias("n"), F.min("v").alias("bmin"),
+                           F.max("v").alias("bmax"))
+                      .collect())
+        by_pid: dict[int, list] = {}
+        for r in hist:
+            by_pid.setdefault(r["pid"], []).append((r["b"], r["n"], r["bmin"], r["bmax"]))
+        small = []
+        for pid, k in enumerate(keys):
+            rank = open_probes[k][2]
+            seen = 0
+            for b, n, bmin, bmax in sorted(by_pid.get(pid, [])):
+                if seen + n > rank:
+                    if bmin == bmax:
+                        answers[k] = bmin
+                    elif n <= final_rows:
+                        small.append((k, bmin, bmax, rank - seen))
+                    probes[k] = [bmin, bmax, rank - seen]
+                    break
+                seen += n
+        for k, lo, hi, r in small:
+            vals = [row[0] for row in long.where((F.col("cidx") == k[0])
+                                                 & (F.col("v") >= lo) & (F.col("v") <= hi))
+                    .select("v").orderBy("v").collect()]
+            answers[k] = vals[r]
+    out = {}
+    for i, c in enumerate(cols):
+        if i not in stats:
+            out[c] = [None] * len(probs)
+            continue
+        n = stats[i][0]
+        at = {t: answers[(i, t)] for t in _targets(n, probs)}
+        out[c] = [_interp(at, n, p) for p in probs]
+    return out
+
+
+def _choose(rows: int, n_cols: int, in_memory_rows: int) -> str:
+    """``percentile`` keeps one value map per column in the final task, so the
+    bound is on rows x columns (``in_memory_rows`` counts single-column rows)."""
+    return "in_memory" if rows * max(1, n_cols) <= in_memory_rows else "distributed"
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    method: str = "auto", in_memory_rows: int = 5_000_000) -> dict:
+                    method: str = "auto", in_memory_rows: int = 20_000_000) -> dict:
     """Exact linear-interpolation quantiles per column (NULL/NaN ignored).
 
     Returns ``{col: [q(p) for p in probs]}``; a column without values maps
@@ -154,7 +159,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not cols:
         return {}
     if method == "auto":
-        method = "in_memory" if df.count() <= in_memory_rows else "distributed"
+        method = _choose(df.count(), len(cols), in_memory_rows)
     if method == "in_memory":
         return _in_memory_quantiles(df, cols, probs)
     if method == "distributed":
@@ -167,7 +172,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 # ---------------------------------------------------------------------------
 
 def fit_medians(df: DataFrame, cols: Iterable[str], method: str = "auto",
-                in_memory_rows: int = 5_000_000) -> dict:
+                in_memory_rows: int = 20_000_000) -> dict:
     """Exact median per column; a column with no value gets 0.0."""
     q = exact_quantiles(df, list(cols), [0.5], method=method, in_memory_rows=in_memory_rows)
     return {c: (0.0 if v[0] is None else float(v[0])) for c, v in q.items()}
@@ -238,7 +243,7 @@ def stats_from_frame(df: DataFrame, kind: str) -> dict:
 # ---------------------------------------------------------------------------
 
 def fit_impute_and_scale(df: DataFrame, cols: Sequence[str], method: str = "auto",
-                         in_memory_rows: int = 5_000_000) -> tuple[dict, dict]:
+                         in_memory_rows: int = 20_000_000) -> tuple[dict, dict]:
     """Medians (A1) and the min-max statistics (A5) of the median-filled
     columns, from one algebraic pass plus the median pass.
 
@@ -253,7 +258,7 @@ def fit_impute_and_scale(df: DataFrame, cols: Sequence[str], method: str = "auto
     row = df.agg(*aggs).collect()[0]
     rows = row["_rows"]
     if method == "auto":
-        method = "in_memory" if rows <= in_memory_rows else "distributed"
+        method = _choose(rows, len(cols), in_memory_rows)
     medians = fit_medians(df, cols, method=method, in_memory_rows=in_memory_rows)
     ranges = {}
     for i, c in enumerate(cols):
