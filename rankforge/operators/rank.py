@@ -46,10 +46,24 @@ def top_k(df: DataFrame, k: int, score_col: str = "score", id_col: str = "candid
 
 
 def rank_within(df: DataFrame, group_cols, score_col: str = "score",
-                id_col: str = "candidate_id", rank_col: str = "rank") -> DataFrame:
-    """W1 per group: 1..n inside each group (one job, one query group)."""
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols(score_col, id_col))
-    return df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
+                id_col: str = "candidate_id", rank_col: str = "rank",
+                num_partitions: int | None = None) -> DataFrame:
+    """W1 per group (per job, per query group): 1..n inside each group.
+
+    No window holds a group: ranks come from a running count over a
+    range-partitioned sort, so a job scored against a third of all rows is
+    spread over many tasks."""
+    from .prefix import exclusive_prefix_sum
+    ones = df.withColumn("_one", F.lit(1.0))
+    out = exclusive_prefix_sum(ones, list(group_cols), order_cols(score_col, id_col), "_one",
+                               "_before", num_partitions)
+    return out.withColumn(rank_col, (F.col("_before") + 1).cast("bigint")).drop("_one", "_before")
+
+
+def top_k_per_group(df: DataFrame, group_cols, k: int, score_col: str = "score",
+                    id_col: str = "candidate_id", rank_col: str = "rank") -> DataFrame:
+    """Best k rows of every group (e.g. a shortlist per job)."""
+    return rank_within(df, group_cols, score_col, id_col, rank_col).where(F.col(rank_col) <= k)
 
 
 def global_row_number(df: DataFrame, order, out_col: str = "rank",

@@ -114,3 +114,15 @@ def test_prefix_sum_hot_group_spreads_and_matches(spark):
         run[g] = run.get(g, 0.0) + v
     parts = out.withColumn("p", F.spark_partition_id()).where(F.col("g") == "hot").select("p").distinct().count()
     assert parts >= 1
+
+
+def test_rank_within_matches_row_number(spark):
+    from pyspark.sql import Window
+    from rankforge.operators.rank import order_cols, rank_within, top_k_per_group
+    rows = [("job1" if i % 3 else "job2", f"C{i:04d}", round((i * 37 % 11) / 10, 6)) for i in range(600)]
+    df = spark.createDataFrame(rows, "job string, candidate_id string, score double")
+    got = {(r["job"], r["candidate_id"]): r["rank"] for r in rank_within(df, ["job"], num_partitions=5).collect()}
+    w = Window.partitionBy("job").orderBy(*order_cols())
+    exp = {(r["job"], r["candidate_id"]): r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == exp
+    assert top_k_per_group(df, ["job"], 3).count() == 6
