@@ -277,8 +277,9 @@ SELECT 'CAND_' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS candidate_id, skil
 """)
 def skills_join(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    rows = b.skill_rows()
-    # each skill becomes a string, an object with a name, or a padded string
+    rows = b.skill_rows()   # de-duplicated (customer, skill) pairs
+    # each skill becomes a string, an object with a name, or a padded string;
+    # the list per customer is that customer's distinct skills (the output)
     item = (F.when(F.length("skill") % 2 == 0, F.to_json(F.struct(F.col("skill").alias("name"))))
              .otherwise(F.concat(F.lit('" '), F.col("skill"), F.lit(' "'))))
     docs = (rows.groupBy("c_custkey")
