@@ -126,3 +126,18 @@ def test_rank_within_matches_row_number(spark):
     exp = {(r["job"], r["candidate_id"]): r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == exp
     assert top_k_per_group(df, ["job"], 3).count() == 6
+
+
+def test_prefix_sum_null_group(spark):
+    from rankforge.operators.prefix import exclusive_prefix_sum
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)], "g string, o int, v double")
+    got = sorted((r["g"] or "", r["o"], r["b"]) for r in
+                 exclusive_prefix_sum(df, ["g"], [F.col("o").asc()], "v", "b", num_partitions=2).collect())
+    assert got == [("", 1, 0.0), ("", 2, 1.0), ("a", 1, 0.0)]
+
+
+def test_ndcg_null_group(spark):
+    df = spark.createDataFrame([(None, 3, 0.9), (None, 0, 0.1), ("b", 0, 0.9), ("b", 2, 0.1)],
+                               "g string, label int, score double")
+    got = {r[0]: r[1] for r in ndcg_at_k(df, k=10, group_cols=["g"]).collect()}
+    assert got[None] == pytest.approx(1.0)
