@@ -546,3 +546,26 @@ def career_basic(spark, sf_dir):
     out = b.cand().select("candidate_id", "c_custkey").join(t, "c_custkey", "left")
     cols = ("total_career_duration", "avg_tenure_per_role", "promotion_velocity")
     return out.select("candidate_id", *[round6(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in cols])
+
+
+@query("sweep_report", f"""
+WITH {PROFILE_SQL},
+f AS (SELECT regexp_matches(lower(candidate_id), '{KW}') OR regexp_matches(lower(anonymized_name), '{KW}') AS f1,
+  coalesce(years_of_experience IS NULL OR isnan(years_of_experience) OR years_of_experience < 0
+           OR years_of_experience > 60, true) AS f2,
+  trim(coalesce(skills_raw, '')) = '' AND trim(coalesce(experience_text, '')) = '' AS f3 FROM prof)
+SELECT count(*) AS rows_in, count_if(f1 OR f2 OR f3) AS rows_removed,
+  count_if(f1) AS keyword_hits, count_if(f2) AS experience_out_of_range, count_if(f3) AS empty_profiles
+FROM f
+""")
+def sweep_report(spark, sf_dir):
+    """F4 report: rows in, rows removed, and the hits of each rule (one
+    aggregate pass; the sweep itself reports through an Observation)."""
+    p = _profile_frame(Bindings(spark, sf_dir))
+    f1 = clean.has_bogus_keyword(F.col("candidate_id"), F.col("anonymized_name"))
+    f2 = clean.experience_out_of_range(F.col("years_of_experience"))
+    f3 = clean.empty_profile(F.col("skills_raw"), F.col("experience_text"))
+    bad = clean.sweep_predicate(p, skills_col="skills_raw", text_col="experience_text")
+    return p.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(bad).alias("rows_removed"),
+                 F.count_if(f1).alias("keyword_hits"), F.count_if(f2).alias("experience_out_of_range"),
+                 F.count_if(f3).alias("empty_profiles"))
