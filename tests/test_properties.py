@@ -45,3 +45,26 @@ def test_blank_text_gives_zero_vector(spark):
 def test_medians_ignore_nan(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
     assert S.fit_medians(df, ["x"]) == {"x": 2.0}
+
+
+def test_cosine_to_targets_matches_single_target(spark):
+    from rankforge.operators.vectors import cosine_to_target, cosine_to_targets
+    t = Bindings(spark, SF).t
+    cands = t.embeddings.select(F.col("vec_id").alias("candidate_id"), "embedding")
+    targets = t.embeddings.where(F.col("vec_id") < 3).select("vec_id", "embedding")
+    multi = cosine_to_targets(cands, "embedding", targets, "vec_id", "embedding")
+    assert multi.count() == cands.count() * 3
+    one = targets.where(F.col("vec_id") == 1).first()["embedding"]
+    single = {r[0]: r[1] for r in cosine_to_target(cands, "embedding", one).select(
+        "candidate_id", "cosine_similarity").collect()}
+    for r in multi.where(F.col("vec_id") == 1).select("candidate_id", "cosine_similarity").collect():
+        assert abs(r[1] - single[r[0]]) < 1e-12
+
+
+def test_hash_groups_are_stable_and_bounded(spark):
+    from rankforge.operators.labels import hash_groups
+    df = spark.range(2000).select(F.col("id").cast("string").alias("cid"))
+    a = df.select("cid", hash_groups(F.col("cid"), 7).alias("g"))
+    b = df.repartition(5).select("cid", hash_groups(F.col("cid"), 7).alias("g"))
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert {r[0] for r in a.select("g").distinct().collect()} == set(range(1, 8))
