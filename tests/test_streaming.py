@@ -28,3 +28,14 @@ def test_replayed_batch_is_idempotent(spark):
     w(df, 0)  # replay after a failure
     w(df.limit(2), 1)
     assert read_sink(spark, sink).count() == 7
+
+
+def test_upsert_view_takes_newest_batch(spark):
+    from pyspark.sql import functions as F
+    from rankforge.streaming.stream import batch_folder_writer, latest_per_key, read_sink
+    sink = scratch_path(spark, "t-upsert")
+    w = batch_folder_writer(sink)
+    w(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "candidate_id string, score double"), 0)
+    w(spark.createDataFrame([("a", 5.0)], "candidate_id string, score double"), 1)
+    got = dict(latest_per_key(read_sink(spark, sink), "candidate_id").select("candidate_id", "score").collect())
+    assert got == {"a": 5.0, "b": 2.0}
