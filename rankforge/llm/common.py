@@ -44,6 +44,31 @@ def fresh(taken: list[str], base: str) -> str:
     return base if base.lower() not in low else f"{base}_{uuid.uuid4().hex[:8]}"
 
 
+def row_mark(text: str) -> Column:
+    """A 64-bit mark of a row's text; with the row's key it names the row."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("\u0000null")))
+
+
+def without_rows(df: DataFrame, verdicts: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``df`` that stay, with its own columns.
+
+    ``verdicts`` has key, mark (`row_mark`) and kept for every row of ``df``.
+    Dropped rows are anti-joined, so the texts move only when the list of
+    dropped rows is too long to broadcast.  Fully repeated rows share one
+    mark and leave at most one row.
+    """
+    by_mark = verdicts.groupBy("key", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    by_mark = stored(by_mark.filter("not kept or n > 1"), "dropped")
+    gone = by_mark.filter("not kept").select(F.col("key").alias("_gone_key"), F.col("mark").alias("_gone_mark"))
+    mark = fresh(df.columns, "_mark")
+    marked = df.withColumn(mark, row_mark(text))
+    left = marked.join(gone, marked[key].eqNullSafe(F.col("_gone_key")) & (marked[mark] == F.col("_gone_mark")),
+                       "left_anti")
+    if not by_mark.filter("kept").isEmpty():
+        left = left.dropDuplicates([key, mark])
+    return left.select(*df.columns)
+
+
 def pieces(text: str, size: int) -> list[str]:
     """Cut a long text into pieces of about ``size`` characters.
 

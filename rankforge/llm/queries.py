@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, token_counts
+from . import bpe, decontaminate, exact_dedup, hilbert, language, near_dedup, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def query(name: str, oracle: str | None = None):
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+@query("op1_latent_decontamination")
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that give benchmark items away, with the evidence."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
+
+
 @query("op2_hilbert_shards")
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents along a Hilbert curve over (language, source, length), 40 shards."""
@@ -38,6 +44,16 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+@query("op5_language_spans")
+def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~language.held_out("doc_id")))
+    return (docs.select("doc_id", language.held_out("doc_id").alias("held_out"),
+                        language.label(F.col("text"), model).alias("l"))
+            .select("doc_id", "held_out", "l.lang_pred", "l.score", F.size("l.spans").cast("long").alias("n_spans")))
+
+
 @query("op7_bpe_codec")
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids again, digest both."""
@@ -53,6 +69,26 @@ def bpe_digest(coded: DataFrame, path: str) -> DataFrame:
         F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
 
 
+#: White-space folding, smallest row of equal texts, in DuckDB.
+EXACT_ORACLE = r"""
+WITH folded AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM folded"""
+
+
+@query("op8_chunk_recipes", EXACT_ORACLE)
+def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("mark")
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 1024)
+
+
+@query("op10_probminhash")
+def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("mark")
