@@ -17,7 +17,8 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import CHUNK
+from .common import CHUNK, by_bytes
 
 #: The word pattern of the byte-level pre-tokenizer (fixed value).
 WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -81,6 +82,9 @@ class ByteBpe:
         ranks = np.array([r for r, _ in self.rank.values()], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], ranks[order]
+        self.whole = np.zeros(int(ranks.max(initial=-1)) + 1, np.int64)  # what the merge of a rank makes
+        for r, made in self.rank.values():
+            self.whole[r] = made
         self.sizes = np.array([len(t) for t in self.token], np.int64)
         made = np.flatnonzero(self.made >= 0)
         self.sound = np.zeros(n, bool)
@@ -88,11 +92,16 @@ class ByteBpe:
         inner = self.compatible(self.left[made], self.right[made], joined=self.made[made])
         for i, ok in sorted(zip(made, inner), key=lambda x: self.made[x[0]]):
             self.sound[i] = ok and self.sound[self.left[i]] and self.sound[self.right[i]]
-        self.trie = ahocorasick.Automaton()
-        for t, i in vocab.items():
+        self._spelled = vocab
+
+    @cached_property
+    def trie(self) -> ahocorasick.Automaton:
+        trie = ahocorasick.Automaton()
+        for t, i in self._spelled.items():
             if self.sound[i]:
-                self.trie.add_word(t, i)
-        self.trie.make_automaton()
+                trie.add_word(t, i)
+        trie.make_automaton()
+        return trie
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -125,25 +134,9 @@ class ByteBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one word: the lowest-ranked pair merges first, the
-        leftmost among equals.  Short words scan their pairs; a heap keeps
-        long ones near linear."""
+        leftmost among equals.  A heap keeps long words near linear."""
         ids = [self.byte_id[b] for b in word]
         n = len(ids)
-        if n <= 32:
-            none = (_NEVER, -1)
-            pairs = [self.rank.get(p, none) for p in zip(ids, ids[1:])]
-            while pairs:
-                best = min(pairs)
-                if best is none:
-                    break
-                i = pairs.index(best)
-                ids[i:i + 2] = [best[1]]
-                del pairs[i]
-                if i:
-                    pairs[i - 1] = self.rank.get((ids[i - 1], ids[i]), none)
-                if i < len(pairs):
-                    pairs[i] = self.rank.get((ids[i], ids[i + 1]), none)
-            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(self.rank[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
         heapq.heapify(heap)
@@ -163,6 +156,42 @@ class ByteBpe:
                     heapq.heappush(heap, (self.rank[p][0], k, p))
         return [t for t, g in zip(ids, gone) if not g]
 
+    def merge_many(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Exact BPE of many words of at most ``width`` bytes at once: one
+        merge a word and step, on a matrix of ids and one of pair ranks.
+        (ids, left-aligned, and how many each word has)"""
+        n = len(words)
+        size = np.array([len(w) for w in words])
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
+        ids = np.array(self.byte_id, np.int64)[raw]
+        columns = np.arange(width)
+        ranks = np.full((n, width), _NEVER)
+        inner = columns[None, 1:] < size[:, None]
+        ranks[:, :-1][inner] = self.pair_rank(ids[:, :-1][inner], ids[:, 1:][inner])
+        live = np.arange(n)
+        while len(live):
+            r = ranks[live]
+            at = r.argmin(axis=1)
+            low = r[np.arange(len(live)), at]
+            go = low < _NEVER
+            live, at, low = live[go], at[go], low[go]
+            if not len(live):
+                break
+            shift = np.minimum(columns + (columns > at[:, None]), width - 1)
+            x = np.take_along_axis(ids[live], shift, axis=1)
+            x[np.arange(len(live)), at] = self.whole[low]
+            k = np.take_along_axis(ranks[live], np.minimum(columns + (columns >= at[:, None]), width - 1), axis=1)
+            k[:, -1] = _NEVER
+            size[live] -= 1
+            row = np.flatnonzero(at > 0)
+            k[row, at[row] - 1] = self.pair_rank(x[row, at[row] - 1], x[row, at[row]])
+            row = np.flatnonzero(at + 1 < size[live])
+            k[row, at[row]] = self.pair_rank(x[row, at[row]], x[row, at[row] + 1])
+            row = np.flatnonzero(at + 1 >= size[live])
+            k[row, at[row]] = _NEVER
+            ids[live], ranks[live] = x, k
+        return ids, size
+
     def speculate(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Greedy longest-match tokens of all words, the word of each token,
         and which words the proposal covers completely."""
@@ -175,21 +204,40 @@ class ByteBpe:
         covered = np.bincount(of, weights=self.sizes[ids], minlength=len(words)) == size
         return ids, of, covered
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each word has."""
         if not words:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         ids, of, good = self.speculate(words)
         near = np.flatnonzero(of[1:] == of[:-1])
         keys, where = np.unique(ids[near] * self.size + ids[near + 1], return_inverse=True)
         bad = ~self.compatible(keys // self.size, keys % self.size)[where]
         good[of[near[bad]]] = False
-        out = np.split(ids.astype(np.int32), np.searchsorted(of, np.arange(1, len(words))))
-        for i in np.flatnonzero(~good):
-            out[i] = np.array(self.merge(words[i]), np.int32)
-        return out
+        keep = good[of]
+        sizes = np.bincount(of[keep], minlength=len(words))
+        failed = np.flatnonzero(~good)
+        exact, width = [], np.array([len(words[i]) for i in failed])
+        for lo, hi in ((0, 8), (8, 16), (16, 32)):
+            some = failed[(width > lo) & (width <= hi)]
+            for a in range(0, len(some), 1 << 14):
+                exact.append((some[a:a + (1 << 14)], *self.merge_many([words[i] for i in some[a:a + (1 << 14)]], hi)))
+        for i in failed[width > 32]:
+            one = np.array([self.merge(words[i])], np.int64)
+            exact.append((np.array([i]), one, np.array([one.shape[1]])))
+        for rows, _, size in exact:
+            sizes[rows] = size
+        start = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        out[np.repeat(good, sizes)] = ids[keep]
+        for rows, found, size in exact:
+            real = np.arange(found.shape[1]) < size[:, None]
+            out[(start[rows][:, None] + np.arange(found.shape[1]))[real]] = found[real]
+        return out, sizes
 
     def decode(self, ids) -> str:
-        return b"".join([self.token[i] if 0 <= i < self.size else b"" for i in ids]).decode("utf-8", "replace")
+        if ids and (min(ids) < 0 or max(ids) >= self.size):
+            ids = [i for i in ids if 0 <= i < self.size]
+        return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -197,12 +245,47 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+class Lists:
+    """Id lists by number, kept in one growing buffer."""
+
+    def __init__(self) -> None:
+        self.ids, self.used = np.empty(1 << 16, np.int32), 0
+        self.start, self.size, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Append lists; the number of the first."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start[self.n:self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n:self.n + len(sizes)] = sizes
+        self.used += len(ids)
+        self.n += len(sizes)
+        return self.n - len(sizes)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists with these numbers in a row, and their sizes."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[numbers] - (ends - size), size)
+        return self.ids[at], size
+
+
 class Encoder:
-    """Encodes whole texts; remembers up to ``limit`` short runs."""
+    """Encodes whole texts; remembers up to ``limit`` runs and their words."""
 
     def __init__(self, path: str, limit: int = 250_000, longest: int = 48):
         self.bpe, self.limit, self.longest = load(path), limit, longest
-        self.known: dict[str, np.ndarray] = {s: np.array([i], np.int32) for s, i in self.bpe.special.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.lists = Lists()
+        self.known: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        for s, i in self.bpe.special.items():
+            self.known[s] = self.lists.add(np.array([i], np.int32), np.ones(1, np.int64))
 
     def runs(self, text: str) -> list[str]:
         parts = [text]
@@ -214,46 +297,44 @@ class Encoder:
         return [r for p in parts for r in ([p] if p in self.bpe.special else CHUNK.findall(p))]
 
     def _learn(self, new: list[str]) -> None:
-        words: dict[str, int] = {}
-        made = []
+        fresh: list[str] = []
+        first, made = self.lists.n, []
         for r in new:
-            if r.isalpha() or (r[0] == " " and r[1:].isalpha()):
-                made.append([words.setdefault(r, len(words))])
+            simple = r.isalpha() or (r[0] == " " and r[1:].isalpha())
+            at = (r,) if simple else WORD.findall(r)
+            for w in at:
+                if w not in self.words:
+                    self.words[w] = first + len(fresh)
+                    fresh.append(w)
+            if len(at) == 1:
+                self.known[r] = self.words[at[0]]
             else:
-                made.append([words.setdefault(w, len(words)) for w in WORD.findall(r)])
-        got = self.bpe.encode_words([w.encode("utf-8") for w in words])
-        for r, at in zip(new, made):
-            self.known[r] = got[at[0]] if len(at) == 1 else np.concatenate([got[i] for i in at])
-
-    def encode(self, texts: list[str], chars: int = 1 << 20) -> Iterator[np.ndarray]:
-        """Ids of every text, in order, working through about ``chars``
-        characters at a time."""
-        at = 0
-        while at < len(texts):
-            load_, end = 0, at
-            while end < len(texts) and (end == at or load_ + len(texts[end]) <= chars):
-                load_ += len(texts[end])
-                end += 1
-            runs = [self.runs(t) for t in texts[at:end]]
-            distinct = {r for one in runs for r in one}
+                made.append((r, [self.words[w] for w in at]))
+        self.lists.add(*self.bpe.encode_words([w.encode("utf-8") for w in fresh]))
+        if made:
+            ids, sizes = self.lists.get(np.array([w for _, at in made for w in at], np.int64))
+            width = np.array([len(at) for _, at in made])
+            number = self.lists.add(ids, np.add.reduceat(sizes, np.cumsum(width) - width))
+            self.known.update((r, number + i) for i, (r, _) in enumerate(made))
+
+    def encode(self, texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids in a row, ids a text) for about ``chars`` characters at a time."""
+        for a, b in by_bytes(texts, chars):
+            runs = [self.runs(t) for t in texts[a:b]]
+            distinct = set().union(*runs)
             new = [r for r in distinct if r not in self.known]
             if len(self.known) + len(new) > self.limit:
-                self.known = {s: np.array([i], np.int32) for s, i in self.bpe.special.items()}
+                self.forget()
                 new = [r for r in distinct if r not in self.known]
             self._learn(new)
-            get = self.known.__getitem__
-            for one in runs:
-                yield np.concatenate([get(r) for r in one]) if one else np.zeros(0, np.int32)
+            number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(runs)), np.int64)
+            ids, sizes = self.lists.get(number)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, runs)])]
+            yield ids, np.diff(ends)
             for r in new:
                 if len(r) > self.longest:
-                    del self.known[r]
-            at = end
-
-
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]) if arrays else np.zeros(1)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, kind))
+                    self.known.pop(r, None)
+                    self.words.pop(r, None)
 
 
 def encode(text: Column, path: str) -> Column:
@@ -266,7 +347,10 @@ def encode(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
         for batch in batches:
-            yield _lists(list(encoder.encode(batch.to_pylist())), pa.int32())
+            parts = list(encoder.encode(batch.to_pylist()))
+            sizes = np.concatenate([[0], *(n for _, n in parts)])
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)),
+                                           pa.array(np.concatenate([np.zeros(0, np.int32), *(i for i, _ in parts)])))
 
     return ids(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -280,11 +364,10 @@ def decode(ids: Column, path: str) -> Column:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
         for batch in batches:
-            flat, ends = batch.flatten().to_numpy(zero_copy_only=False).tolist(), 0
-            out = []
-            for n in batch.value_lengths().to_pylist():
-                out.append(None if n is None else bpe.decode(flat[ends:ends + n]))
-                ends += n or 0
+            flat, at, out = batch.flatten().to_numpy(zero_copy_only=False), 0, []
+            for n in batch.value_lengths().to_pylist():  # Python numbers of one text at a time
+                out.append(None if n is None else bpe.decode(flat[at:at + n].tolist()))
+                at += n or 0
             yield pa.array(out, pa.string())
 
     return text(ids)

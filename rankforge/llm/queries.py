@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, hilbert, language, near_dedup, token_counts
+from . import bpe, decontaminate, exact_dedup, hilbert, language, licenses, near_dedup, pii, secrets, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,40 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def span_digest(found: DataFrame, kinds: tuple[str, ...], spans: str = "spans") -> DataFrame:
+    """Counts of the base kinds, digest of the base spans, all spans."""
+    base = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id", *[F.size(F.filter(spans, _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col(spans)).alias("spans"))
+
+
+@query("op3_markov_secrets")
+def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.fit(docs)
+    return span_digest(docs.select("doc_id", secrets.find(F.col("text"), model).alias("spans")), ("assign", "access", "hex"))
+
+
+@query("op4_bootstrapped_pii")
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(pii.find(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
+
+
+@query("op6_license_inheritance")
+def op6_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents.  The table has no paths; a document's
+    folder is its source and its hundred, its name its id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.col("source"), F.expr("doc_id div 1000"), F.expr("doc_id div 100"),
+                       F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.resolve(docs.select("doc_id", "text", path.alias("path")))
+
+
 @query("op5_language_spans")
 def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that are not held out."""

@@ -86,10 +86,11 @@ class _Counter:
                     parts.append(p)
         for a, b in by_bytes(parts, batch_chars):
             runs = [CHUNK.findall(p) for p in parts[a:b]]
-            new = list({r for one in runs for r in one}.difference(self.known))
+            distinct = set().union(*runs)
+            new = list(distinct.difference(self.known))
             if len(self.known) + len(new) > self.limit:
                 self.known.clear()
-                new = list({r for one in runs for r in one})
+                new = list(distinct)
             self.known.update(zip(new, self.lengths(new)))
             get = self.known.__getitem__
             for i, one in zip(owner[a:b], runs):
