@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix64
+from .common import by_bytes, fresh, mix64
 
 UNKNOWN = "und"
 _BITS = 16
@@ -197,7 +197,8 @@ def label(text: Column, model: Model, penalty: float = 10.0, clip: float = 8.0)
     stop>> in code points, from the first letter of a run to behind its last."""
     kind = "lang_pred string, score double, spans array<struct<lang:string,start:int,stop:int>>"
     if not model.langs:
-        raise ValueError("the model has no language")
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+                        F.array().cast("array<struct<lang:string,start:int,stop:int>>").alias("spans"))
 
     @F.arrow_udf(kind)
     def lang(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -244,3 +245,12 @@ def held_out(key: str) -> Column:
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key), label(F.col(text), model).alias("_l")).select(key, "_l.lang_pred", "_l.score", "_l.spans")
+
+
+def spoken(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows in some language, with their own columns.  A model without
+    languages rejects only what has no letter."""
+    if not model.langs:
+        return df.filter(F.col(text).cast("string").rlike(r"\p{L}"))
+    verdict = fresh(df.columns, "_lang")
+    return df.withColumn(verdict, label(F.col(text), model)).filter(F.col(verdict)["lang_pred"] != UNKNOWN).select(*df.columns)

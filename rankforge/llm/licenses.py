@@ -155,7 +155,7 @@ def ancestors(path: Column) -> Column:
 
 
 def resolve(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", similar: float = 0.7,
-            mostly: float = 0.25, templates: dict[str, list[str]] | None = None) -> DataFrame:
+            mostly: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each input row: key, path, license (null: none), origin
     (`declared`, `inherited` or `none`), cosine, license_folder.
 
