@@ -43,9 +43,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, their number, and whether decoding
     them gives the text back."""
     path = public_tokenizers.path(TOKENIZER)
-    coded = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text"), path).alias("ids"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                        (bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = docs.select("doc_id", "lang", "source", "text", bpe.round_trip(F.col("text"), path).alias("c"))
+    return coded.select("doc_id", "lang", "source", F.size("c.ids").cast("long").alias("n_tokens"), F.col("c.ids").alias("ids"),
+                        (F.col("c.back") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [("language_id", languages), ("exact_dedup", exact_duplicates), ("near_dedup", near_duplicates),

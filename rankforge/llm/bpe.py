@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import CHUNK, by_bytes
+from .common import CHUNK, arrow, sliced
 
 #: The word pattern of the byte-level pre-tokenizer (fixed value).
 WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -240,6 +240,15 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
+    def decode_many(self, ids: np.ndarray, sizes: list[int | None]) -> list[str | None]:
+        """Texts of id lists in a row; Python numbers of one text at a time."""
+        out, at = [], 0
+        for n in sizes:
+            out.append(None if n is None else self.decode(ids[at:at + n].tolist()))
+            at += n or 0
+        return out
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)
@@ -276,7 +285,7 @@ class Lists:
 class Encoder:
     """Encodes whole texts; remembers up to ``limit`` runs and their words."""
 
-    def __init__(self, path: str, limit: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 200_000, longest: int = 48):
         self.bpe, self.limit, self.longest = load(path), limit, longest
         self.forget()
 
@@ -317,24 +326,27 @@ class Encoder:
             number = self.lists.add(ids, np.add.reduceat(sizes, np.cumsum(width) - width))
             self.known.update((r, number + i) for i, (r, _) in enumerate(made))
 
-    def encode(self, texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids in a row, ids a text) for about ``chars`` characters at a time."""
-        for a, b in by_bytes(texts, chars):
-            runs = [self.runs(t) for t in texts[a:b]]
-            distinct = set().union(*runs)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)."""
+        runs = [self.runs(t) for t in texts]
+        distinct = set().union(*runs)
+        new = [r for r in distinct if r not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.forget()
             new = [r for r in distinct if r not in self.known]
-            if len(self.known) + len(new) > self.limit:
-                self.forget()
-                new = [r for r in distinct if r not in self.known]
-            self._learn(new)
-            number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(runs)), np.int64)
-            ids, sizes = self.lists.get(number)
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, runs)])]
-            yield ids, np.diff(ends)
-            for r in new:
-                if len(r) > self.longest:
-                    self.known.pop(r, None)
-                    self.words.pop(r, None)
+        self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(runs)), np.int64)
+        ids, sizes = self.lists.get(number)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, runs)])]
+        for r in new:
+            if len(r) > self.longest:
+                self.known.pop(r, None)
+                self.words.pop(r, None)
+        return ids, np.diff(ends)
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
 
 
 def encode(text: Column, path: str) -> Column:
@@ -343,14 +355,12 @@ def encode(text: Column, path: str) -> Column:
     Equal to the library's encoding without added begin or end tokens;
     special strings inside the text become their own ids."""
 
-    @F.arrow_udf("array<int>")
+    @arrow("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
         for batch in batches:
-            parts = list(encoder.encode(batch.to_pylist()))
-            sizes = np.concatenate([[0], *(n for _, n in parts)])
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)),
-                                           pa.array(np.concatenate([np.zeros(0, np.int32), *(i for i, _ in parts)])))
+            for texts in sliced(batch, 1 << 20):
+                yield _lists(*encoder.encode(texts))
 
     return ids(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -360,14 +370,27 @@ def decode(ids: Column, path: str) -> Column:
     replaced by U+FFFD.  Null gives null, an empty array the empty text;
     unknown ids stand for nothing."""
 
-    @F.arrow_udf("string")
+    @arrow("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
         for batch in batches:
-            flat, at, out = batch.flatten().to_numpy(zero_copy_only=False), 0, []
-            for n in batch.value_lengths().to_pylist():  # Python numbers of one text at a time
-                out.append(None if n is None else bpe.decode(flat[at:at + n].tolist()))
-                at += n or 0
-            yield pa.array(out, pa.string())
+            yield pa.array(bpe.decode_many(batch.flatten().to_numpy(zero_copy_only=False),
+                                           batch.value_lengths().to_pylist()), pa.string())
 
     return text(ids)
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """struct(ids, back): the encoding of ``text`` and the text decoded from
+    those ids, in one pass of one worker."""
+
+    @arrow("ids array<int>, back string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(path)
+        for batch in batches:
+            for texts in sliced(batch, 1 << 20):
+                ids, sizes = encoder.encode(texts)
+                back = encoder.bpe.decode_many(ids, sizes.tolist())
+                yield pa.StructArray.from_arrays([_lists(ids, sizes), pa.array(back, pa.string())], names=["ids", "back"])
+
+    return both(F.coalesce(text.cast("string"), F.lit("")))

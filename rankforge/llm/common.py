@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +105,42 @@ def by_bytes(texts: list[str], size: int) -> list[tuple[int, int]]:
     return out
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches() -> None:
+    """Arrow batches of 4 MB, unless the session already asks for other than
+    Spark's 64 MB: texts vary from a line to megabytes, so a batch is bounded
+    by bytes, in the JVM as well as in Python."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH_BYTES) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH_BYTES, "4m")
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """`mapInArrow` on small batches."""
+    small_batches()
+    return df.mapInArrow(function, schema)
+
+
+def arrow(kind: str):
+    """`arrow_udf` on small batches."""
+    small_batches()
+    return F.arrow_udf(kind)
+
+
+def sliced(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
+    """The values of an Arrow column, about ``size`` bytes at a time: Python
+    holds one slice, however many long rows a batch has."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        full = (ends[at - 1] if at else 0) + size
+        end = min(max(at + 1, int(np.searchsorted(ends, full, side="right"))), at + 32_768)
+        yield texts.slice(at, end - at).to_pylist()
+        at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (shift, multiply, shift) on uint64 arrays."""
     x = x.astype(np.uint64, copy=True)

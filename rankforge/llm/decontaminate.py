@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, row_mark, text_or_empty, without_rows, word_hashes
+from .common import map_arrow, row_mark, sliced, text_or_empty, without_rows, word_hashes
 
 BITS, RANK, HALF = 14, 64, 16
 FEATURES = 1 << BITS
@@ -101,9 +101,8 @@ def half_sums(feature: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _each(batches: Iterator[pa.RecordBatch], column: int = 0, size: int = 1 << 20) -> Iterator[Blocks]:
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        for a, b in by_bytes(texts, size):
-            yield blocks(texts[a:b])
+        for texts in sliced(batch.column(column), size):
+            yield blocks(texts)
 
 
 def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -119,7 +118,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["f", "n"])
 
-    got = texts.mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    got = map_arrow(texts, count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(FEATURES + 1, np.int64)
     df[got["f"]] = got["n"]
     return df[:FEATURES], int(df[FEATURES])
@@ -149,7 +148,7 @@ def gram_times(texts: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.nd
         yield pa.RecordBatch.from_arrays(
             [pa.array(at, pa.int32()), *(pa.array(total[j, at], pa.float64()) for j in range(rank))], names=["f", *names])
 
-    got = (texts.mapInArrow(multiply, "f int, " + ", ".join(f"{y} double" for y in names)).groupBy("f")
+    got = (map_arrow(texts, multiply, "f int, " + ", ".join(f"{y} double" for y in names)).groupBy("f")
            .agg(*[F.sum(y).alias(y) for y in names]).toPandas())  # FEATURES rows at most
     out = np.zeros((FEATURES, rank))
     out[got["f"]] = got[names].to_numpy(float)
@@ -321,7 +320,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         part = asked.filter(F.pmod(F.xxhash64("id", "t"), F.lit(groups)) == g).orderBy("id", "t").collect()
         shared = spark.sparkContext.broadcast(
             (Items([r.id for r in part], [r.t or "" for r in part], [r.a for r in part], space, config), space.table))
-        found = rows.mapInArrow(_finder(shared), schema)
+        found = map_arrow(rows, _finder(shared), schema)
         out = found if out is None else out.unionByName(found)
     named = out.join(benchmark.select(F.col(item).alias("_item"), F.col(item).cast("string").alias("item")).distinct(),
                      "item").drop("item")
@@ -333,12 +332,12 @@ def _finder(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, table = shared.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            where, found = [], []
-            for a, b in by_bytes(texts, 1 << 20):
-                for t, *rest in search(blocks(texts[a:b]), items, table):
-                    where.append(a + t)
+            where, found, at = [], [], 0
+            for texts in sliced(batch.column(2), 1 << 20):
+                for t, *rest in search(blocks(texts), items, table):
+                    where.append(at + t)
                     found.append(rest)
+                at += len(texts)
             pick = pa.array(where, pa.int64())
             i, near, whole, content, answer = zip(*found) if found else ((),) * 5
             yield pa.RecordBatch.from_arrays(

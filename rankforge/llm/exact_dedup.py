@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix64, row_mark, stored, text_or_empty, without_rows
+from .common import arrow, by_bytes, map_arrow, mix64, row_mark, sliced, stored, text_or_empty, without_rows
 
 #: Runs that folding changes: all but a single blank between two words.
 _FOLD = re.compile(r"[\t-\r][ \t-\r]*| [ \t-\r]+")
@@ -88,10 +88,11 @@ def _digest(chunk: bytes, bits: int) -> int:
 def text_sha256(text: Column) -> Column:
     """Hex SHA-256 of the folded text."""
 
-    @F.arrow_udf("string")
+    @arrow("string")
     def sha(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([hashlib.sha256(folded(t or "")).hexdigest() for t in batch.to_pylist()], pa.string())
+            for texts in sliced(batch, 1 << 22):
+                yield pa.array([hashlib.sha256(folded(t or "")).hexdigest() for t in texts], pa.string())
 
     return sha(text)
 
@@ -99,15 +100,16 @@ def text_sha256(text: Column) -> Column:
 def recipes(df: DataFrame, keep: list[str], text: str, bits: int = 64) -> DataFrame:
     """``keep`` columns, text_sha256 and recipe (array of chunk digests)."""
 
-    @F.arrow_udf("sha string, recipe array<long>")
+    @arrow("sha string, recipe array<long>")
     def recipe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            shas, lists = [], []
-            for raw, parts in chunks(batch.to_pylist()):
-                shas.append(hashlib.sha256(raw).hexdigest())
-                lists.append([_digest(c, bits) for c in parts])
-            yield pa.StructArray.from_arrays([pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.int64()))],
-                                             names=["sha", "recipe"])
+            for texts in sliced(batch, 1 << 21):
+                shas, lists = [], []
+                for raw, parts in chunks(texts):
+                    shas.append(hashlib.sha256(raw).hexdigest())
+                    lists.append([_digest(c, bits) for c in parts])
+                yield pa.StructArray.from_arrays([pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.int64()))],
+                                                 names=["sha", "recipe"])
 
     made = df.select(*keep, recipe(text_or_empty(text)).alias("_made"))
     return made.select(*keep, F.col("_made.sha").alias("text_sha256"), F.col("_made.recipe").alias("recipe"))
@@ -118,17 +120,10 @@ def chunk_rows(df: DataFrame, text: str, bits: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[bytes] = set()
-            load = 0
-            for _, parts in chunks(batch.column(0).to_pylist()):
-                found.update(parts)
-                load += sum(map(len, parts))
-                if load > 8 << 20:
-                    yield _chunk_batch(found, bits)
-                    found, load = set(), 0
-            yield _chunk_batch(found, bits)
+            for texts in sliced(batch.column(0), 1 << 23):
+                yield _chunk_batch({c for _, parts in chunks(texts) for c in parts}, bits)
 
-    return df.select(text_or_empty(text).alias("t")).mapInArrow(rows, "digest long, chunk binary")
+    return map_arrow(df.select(text_or_empty(text).alias("t")), rows, "digest long, chunk binary")
 
 
 def _chunk_batch(found: set[bytes], bits: int) -> pa.RecordBatch:
@@ -150,7 +145,7 @@ def _variants(df: DataFrame, text: str, bits: int, known: DataFrame) -> DataFram
     affected = (known.select("text_sha256", F.explode("recipe").alias("digest")).join(shared, "digest", "left_semi")
                 .select("text_sha256").distinct())
     texts = (df.select(text_or_empty(text).alias("t"), text_sha256(F.col(text).cast("string")).alias("text_sha256"))
-             .join(affected, "text_sha256", "left_semi").dropDuplicates(["text_sha256"]))
+             .join(affected, "text_sha256", "left_semi").dropDuplicates(["text_sha256"]).select("t", "text_sha256"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +156,7 @@ def _variants(df: DataFrame, text: str, bits: int, known: DataFrame) -> DataFram
                      pa.array([hashlib.sha256(c).hexdigest() for c in parts], pa.string())],
                     names=["text_sha256", "place", "digest", "chunk_sha"])
 
-    at = texts.mapInArrow(places, "text_sha256 string, place int, digest long, chunk_sha string")
+    at = map_arrow(texts, places, "text_sha256 string, place int, digest long, chunk_sha string")
     return (at.join(sha, ["digest", "chunk_sha"]).groupBy("text_sha256")
             .agg(F.sort_array(F.collect_list(F.struct("place", "chunk_sha"))).alias("variant")))  # one text's chunks
 

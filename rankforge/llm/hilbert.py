@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_or_empty
+from .common import arrow, stored, text_or_empty
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -111,7 +111,7 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
 
 
 def curve_index(cells: list[Column], bits: int) -> Column:
-    @F.arrow_udf("long")
+    @arrow("long")
     def index(*columns: pa.Array) -> pa.Array:
         return pa.array(hilbert_index(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1), bits))
 

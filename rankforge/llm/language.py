@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fresh, mix64
+from .common import arrow, by_bytes, fresh, map_arrow, mix64, sliced
 
 UNKNOWN = "und"
 _BITS = 16
@@ -131,7 +131,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = 200,
     langs = sorted(r.l for r in rows.select("l").distinct().limit(most + 1).collect())
     if len(langs) > most:
         raise ValueError(f"more than {most} languages")
-    totals = rows.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    totals = map_arrow(rows, count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counts = np.zeros((size + len(SCRIPTS), len(langs)))
     got = totals.toPandas()  # at most languages x (2**16 + scripts) rows
     if len(got):
@@ -200,20 +200,17 @@ def label(text: Column, model: Model, penalty: float = 10.0, clip: float = 8.0)
         return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                         F.array().cast("array<struct<lang:string,start:int,stop:int>>").alias("spans"))
 
-    @F.arrow_udf(kind)
+    @arrow(kind)
     def lang(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            done = [_label(texts[a:b], model, penalty, clip) for a, b in by_bytes(texts, 1 << 23)]
-            preds, scores, owner, names, starts, stops = (
-                [x for d in done for x in d[i]] if i != 2 else np.concatenate([d[2] for d in done] or [np.zeros(0, np.int64)])
-                for i in range(6))
-            ends = np.concatenate([[0], np.cumsum(owner)]).astype(np.int32)
-            spans = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(starts, pa.int32()),
-                                                pa.array(stops, pa.int32())], names=["lang", "start", "stop"])
-            yield pa.StructArray.from_arrays(
-                [pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
-                 pa.ListArray.from_arrays(pa.array(ends), spans)], names=["lang_pred", "score", "spans"])
+            for texts in sliced(batch, 1 << 23):
+                preds, scores, owned, names, starts, stops = _label([t or "" for t in texts], model, penalty, clip)
+                ends = np.concatenate([[0], np.cumsum(owned)]).astype(np.int32)
+                spans = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(starts, pa.int32()),
+                                                    pa.array(stops, pa.int32())], names=["lang", "start", "stop"])
+                yield pa.StructArray.from_arrays(
+                    [pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
+                     pa.ListArray.from_arrays(pa.array(ends), spans)], names=["lang_pred", "score", "spans"])
 
     return lang(text.cast("string"))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix64, row_mark, stored, text_or_empty, without_rows, word_hashes
+from .common import arrow, mix64, row_mark, sliced, stored, text_or_empty, without_rows, word_hashes
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -41,26 +41,21 @@ _LOW48 = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(texts: list[str], words: int = WORDS) -> Iterator[tuple[int, list[bytes | None], np.ndarray, np.ndarray]]:
-    """For about 2 MB of text at a time: (index of the first text, 128-bit key
-    of each text's word sequence, owner and hash of every shingle)."""
-    for a, b in by_bytes(texts, 1 << 21):
-        for c in range(a, b, 1 << 15):
-            d = min(b, c + (1 << 15))
-            hashes, counts = word_hashes(texts[c:d])
-            ends = np.cumsum(counts)
-            keys = [xxhash.xxh3_128_digest(hashes[e - n:e]) if n else None for n, e in zip(counts.tolist(), ends.tolist())]
-            owner = np.repeat(np.arange(d - c), counts)
-            code = np.zeros(len(hashes), np.uint64)
-            left = np.repeat(ends, counts) - np.arange(len(hashes))  # words from here to the end
-            for k in range(words):
-                inside = left > k
-                part = np.zeros(len(hashes), np.uint64)
-                part[: len(hashes) - k] = hashes[k:]
-                code = np.where(inside, mix64(code + _STEP) + part, code)
-            whole = left >= words
-            whole |= (np.repeat(counts, counts) < words) & (left == np.repeat(counts, counts))
-            yield c, keys, owner[whole], mix64(code[whole])
+def shingles(texts: list[str], words: int = WORDS) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """128-bit key of each text's word sequence, owner and hash of every
+    shingle (2**16 texts at most)."""
+    hashes, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    keys = [xxhash.xxh3_128_digest(hashes[e - n:e]) if n else None for n, e in zip(counts.tolist(), ends.tolist())]
+    owner, mine = np.repeat(np.arange(len(texts)), counts), np.repeat(counts, counts)
+    code = np.zeros(len(hashes), np.uint64)
+    left = np.repeat(ends, counts) - np.arange(len(hashes))  # words from here to the end
+    for k in range(words):
+        part = np.zeros(len(hashes), np.uint64)
+        part[: max(0, len(hashes) - k)] = hashes[k:]
+        code = np.where(left > k, mix64(code + _STEP) + part, code)
+    whole = (left >= words) | ((mine < words) & (left == mine))
+    return keys, owner[whole], mix64(code[whole])
 
 
 def distinct(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,21 +102,18 @@ def sketches(df: DataFrame, keep: list[str], text: str = "text", bands: int = BA
     """``keep`` columns, words (16-byte key of the word sequence, null without
     words), n (distinct shingles) and bands (array of bucket keys)."""
 
-    @F.arrow_udf("words binary, n int, bands array<long>")
+    @arrow("words binary, n int, bands array<long>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            keys, sizes, flat = [], [], []
-            for _, names, owner, code in shingles(batch.to_pylist()):
+            for texts in sliced(batch, 1 << 21):
+                names, owner, code = shingles(texts)
                 owner, code, count = distinct(owner, code)
                 who = sketch(owner, code, 1 + np.log(count), len(names), bands * rows)
-                keys += names
-                sizes.append(np.bincount(owner, minlength=len(names)))
-                flat.append(band_keys(who, bands, rows).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands),
-                                             pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-            number = np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32)
-            yield pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(number), lists],
-                                             names=["words", "n", "bands"])
+                number = np.bincount(owner, minlength=len(names)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * bands),
+                                                 pa.array(band_keys(who, bands, rows).ravel()))
+                yield pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(number), lists],
+                                                 names=["words", "n", "bands"])
 
     return df.select(*keep, made(text_or_empty(text)).alias("_made")).select(*keep, "_made.*")
 
@@ -129,17 +121,15 @@ def sketches(df: DataFrame, keep: list[str], text: str = "text", bands: int = BA
 def shingle_sets(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns, words and the sorted distinct shingle codes."""
 
-    @F.arrow_udf("words binary, codes array<long>")
+    @arrow("words binary, codes array<long>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            keys, sets = [], []
-            for _, names, owner, code in shingles(batch.to_pylist()):
-                keys += names
-                cuts = np.searchsorted(owner, np.arange(1, len(names)))
-                sets += [np.unique(c).view(np.int64) for c in np.split(code, cuts)]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.StructArray.from_arrays([pa.array(keys, pa.binary()), lists], names=["words", "codes"])
+            for texts in sliced(batch, 1 << 21):
+                names, owner, code = shingles(texts)
+                sets = [np.unique(c).view(np.int64) for c in np.split(code, np.searchsorted(owner, np.arange(1, len(names))))]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.StructArray.from_arrays([pa.array(names, pa.binary()), lists], names=["words", "codes"])
 
     return df.select(*keep, made(text_or_empty(text)).alias("_made")).select(*keep, "_made.*")
 

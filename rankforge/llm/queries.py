@@ -93,15 +93,11 @@ def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids again, digest both."""
     path = public_tokenizers.path(BYTE_BPE)
-    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    return bpe_digest(coded, path)
-
-
-def bpe_digest(coded: DataFrame, path: str) -> DataFrame:
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), path).alias("c"))
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+        "doc_id", F.size("c.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("c.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("c.back", 256).alias("decoded_sha256"))
 
 
 #: White-space folding, smallest row of equal texts, in DuckDB.

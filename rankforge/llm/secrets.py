@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import arrow, map_arrow, sliced
 
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -96,14 +96,15 @@ def free_tokens(text: str, spans: list[tuple[str, int, int, int]], shortest: int
     return out
 
 
-def fit(df: DataFrame, text: str = "text", threshold: float = 1.0, shortest: int = 16, smooth: float = 0.5) -> Model:
+def fit(df: DataFrame, text: str = "text", threshold: float = 1.0, shortest: int = 16, smooth: float = 0.5,
+        backoff: float = 20.0) -> Model:
     """Train both models on all texts: values of base spans against words
     outside them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, STATES, STATES), np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in (t for part in sliced(batch.column(0), 1 << 21) for t in part):
                 spans = base_spans(t)
                 total[0] += transitions([t[v:b].encode("ascii", "ignore").decode() for _, _, b, v in spans])
                 at, plain = 0, []
@@ -115,14 +116,17 @@ def fit(df: DataFrame, text: str = "text", threshold: float = 1.0, shortest: int
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at], pa.int64())], names=["k", "n"])
 
-    got = (df.select(F.col(text).cast("string").alias("t")).filter("t is not null")
-           .mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas())  # 2 * STATES ** 2 rows
+    texts = df.select(F.col(text).cast("string").alias("t")).filter("t is not null")
+    got = (map_arrow(texts, count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas())  # 2 * STATES ** 2 rows
     n = np.zeros(2 * STATES * STATES)
     n[got["k"].to_numpy(int)] = got["n"]
     n = n.reshape(2, STATES, STATES)
     if not n.sum(axis=(1, 2)).all():
         return Model(np.full((STATES, STATES), -1.0), threshold, shortest)
-    p = np.log((n + smooth) / (n + smooth).sum(axis=2, keepdims=True))
+    # a transition backs off to how common its second character is
+    single = n.sum(axis=1, keepdims=True) + smooth
+    single /= single.sum(axis=2, keepdims=True)
+    p = np.log((n + backoff * single) / (n.sum(axis=2, keepdims=True) + backoff))
     return Model(p[0] - p[1], threshold, shortest)
 
 
@@ -152,17 +156,17 @@ def scan(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]:
 def find(text: Column, model: Model) -> Column:
     """array<struct<kind, start, stop>> in code points (empty for null)."""
 
-    @F.arrow_udf("array<struct<kind:string,start:int,stop:int>>")
+    @arrow("array<struct<kind:string,start:int,stop:int>>")
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            found = [x for a, b in by_bytes(texts, 1 << 20) for x in scan(texts[a:b], model)]
-            flat = [s for f in found for s in f]
-            kinds, starts, stops = zip(*flat) if flat else ((), (), ())
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
-                names=["kind", "start", "stop"]))
+            for texts in sliced(batch, 1 << 21):
+                found = scan([t or "" for t in texts], model)
+                flat = [s for f in found for s in f]
+                kinds, starts, stops = zip(*flat) if flat else ((), (), ())
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                    [pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
+                    names=["kind", "start", "stop"]))
 
     return spans(text.cast("string"))
 
@@ -176,7 +180,7 @@ def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by [kind]; overlapping spans merge
     under the kind of the first."""
 
-    @F.arrow_udf("string")
+    @arrow("string")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for t, f in zip(texts.to_pylist(), found.to_pylist()):

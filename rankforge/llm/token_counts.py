@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, by_bytes, pieces, text_or_empty
+from .common import CHUNK, arrow, by_bytes, pieces, sliced, text_or_empty
 
 
 @lru_cache(maxsize=4)
@@ -106,11 +106,12 @@ def count_tokens(text: Column, path: str, batch_chars: int = 1 << 20,
     """Number of tokens of ``text`` under the tokenizer file at ``path``
     (0 for null)."""
 
-    @F.arrow_udf("long")
+    @arrow("long")
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _Counter(path)
         for batch in batches:
-            yield pa.array(counter.count(batch.to_pylist(), batch_chars, piece_chars), pa.int64())
+            for texts in sliced(batch, 4 * batch_chars):
+                yield pa.array(counter.count(texts, batch_chars, piece_chars), pa.int64())
 
     return lengths(F.coalesce(text.cast("string"), F.lit("")))
 

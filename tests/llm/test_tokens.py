@@ -49,6 +49,8 @@ def test_encode_and_decode_equal_the_library(spark, library):
     rows = df.select("i", bpe.encode(F.col("text"), PATH).alias("ids")).select(
         "i", "ids", bpe.decode(F.col("ids"), PATH).alias("back")).collect()
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    both = df.select("i", bpe.round_trip(F.col("text"), PATH).alias("c")).collect()
+    assert all(r.c.ids == want[r.i] and r.c.back == texts[r.i] for r in both)
     for r in rows:
         assert r.ids == want[r.i], texts[r.i]
         assert r.back == library.decode(want[r.i], skip_special_tokens=False) == texts[r.i]
