@@ -127,12 +127,14 @@ class RankConfig:
     sim_weight: float = 0.6      # explainer attribution weights (must sum to 1)
     int_weight: float = 0.4
     # learning to rank
-    rounds: int = 30
+    rounds: int = 200
     learning_rate: float = 0.05
     max_depth: int = 5
     min_rows_per_leaf: int = 5
     max_bins: int = 255
     column_sample: float = 0.8
+    # truncation level of the objective: pairs whose better-ranked member is
+    # among the first so many positions; 0: all pairs of a group
     pair_top: int = 30
     seed: int = 42
     # exact quantiles switch to a distributed selection above this many

@@ -23,6 +23,21 @@ def normalize_text(x: Column) -> Column:
     return F.trim(s)
 
 
+#: White space as a plain ``str.strip`` sees it: Unicode spaces and the four
+#: separator control characters (fixed values).
+_SPACE = r"[\s\x1c-\x1f]"
+
+
+def strip(x: Column) -> Column:
+    """Both ends without Unicode white space (``trim`` knows blanks only)."""
+    return F.regexp_replace(x, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+
+
+def is_blank(x: Column) -> Column:
+    """NULL, empty or white space only."""
+    return ~F.coalesce(x.cast("string"), F.lit("")).rlike(rf"(?U)[^\s\x1c-\x1f]")
+
+
 def collapse_ws(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 

@@ -6,11 +6,14 @@ cosine 0, and a missing vector behaves as a zero vector.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import is_blank
+
 
 def _dbl(x: Column) -> Column:
     return x.cast("double")
@@ -27,10 +30,16 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; NULL or zero-norm vectors give 0.0."""
-    na, nb = norm(a), norm(b)
-    return (F.when(a.isNull() | b.isNull(), F.lit(0.0))
-             .when((na == 0) | (nb == 0), F.lit(0.0))
-             .otherwise(dot(a, b) / (na * nb)))
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+
+
+def cosine_to(a: Column, target: Sequence[float]) -> Column:
+    """Cosine similarity to one fixed vector: its norm is a literal, and the
+    row's own norm is computed once."""
+    length = math.sqrt(sum(float(v) * float(v) for v in target))
+    if length == 0.0:
+        return F.lit(0.0)
+    return F.coalesce(F.try_divide(dot(a, literal_vector(target)), norm(a) * F.lit(length)), F.lit(0.0))
 
 
 def literal_vector(values: Sequence[float]) -> Column:
@@ -44,4 +53,4 @@ def zero_vector(dim: int) -> Column:
 
 def blank_to_zero_vector(text: Column, vec: Column, dim: int) -> Column:
     """M3: a blank text maps to the zero vector, otherwise the given vector."""
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", zero_vector(dim)).otherwise(vec)
+    return F.when(is_blank(text), zero_vector(dim)).otherwise(vec)

@@ -88,6 +88,12 @@ def composite_vector(vec_col: str, intent_cols: Sequence[str]) -> F.Column:
                     F.array(*[F.col(c).cast("double") for c in intent_cols]))
 
 
+def of_length(vec: F.Column, dim: int) -> F.Column:
+    """The vector itself; any other length than ``dim`` fails the job."""
+    wrong = F.concat(F.lit(f"a vector of {dim} values is needed, found "), F.size(vec).cast("string"))
+    return F.when(F.size(vec) == dim, vec).otherwise(F.raise_error(wrong))
+
+
 def ranker_features(cos_col: str, intent_cols: Sequence[str]) -> F.Column:
     """M9: [cosine, intent...] as an array (assembled to a Vector for Spark ML)."""
     return F.array(F.col(cos_col).cast("double"), *[F.col(c).cast("double") for c in intent_cols])

@@ -82,7 +82,7 @@ def impute_all_columns(spark, sf_dir):
 # F1-F6 filters
 # ---------------------------------------------------------------------------
 
-KW = "honeypot|fake|dummy|spam|test_user"
+KW = clean.keyword_pattern()
 
 
 @query("keyword_flag", f"""
@@ -134,13 +134,25 @@ def skills_table(b: Bindings):
 
 
 def _profile_frame(b: Bindings):
+    """Candidates with skills and text; every 7th text and every 14th skill
+    list is white space only (tabs and line ends, not just blanks)."""
+    key = F.col("c_custkey")
     return (b.cand().join(skills_table(b), "c_custkey", "left")
              .join(b.captext().select("c_custkey", F.col("text").alias("experience_text")),
-                   "c_custkey", "left"))
+                   "c_custkey", "left")
+             .withColumn("skills_raw", F.when(key % 14 == 0, F.lit("\t ")).otherwise(F.col("skills_raw")))
+             .withColumn("experience_text", F.when(key % 7 == 0, F.lit("\t\n ")).otherwise(F.col("experience_text"))))
 
 
+def _blank_sql(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '[\\s\\x1c-\\x1f]+', '', 'g') = ''"
+
+
+BLANK_SQL = f"({_blank_sql('skills_raw')} AND {_blank_sql('experience_text')})"
+
 PROFILE_SQL = f"""{O.CAND}, {SKILLS_SQL},
-prof AS (SELECT cand.*, s.skills_raw, d.text AS experience_text FROM cand
+prof AS (SELECT cand.*, CASE WHEN cand.c_custkey % 14 = 0 THEN chr(9) || ' ' ELSE s.skills_raw END AS skills_raw,
+  CASE WHEN cand.c_custkey % 7 = 0 THEN chr(9) || chr(10) || ' ' ELSE d.text END AS experience_text FROM cand
   LEFT JOIN skills s ON s.c_custkey = cand.c_custkey
   LEFT JOIN documents d ON d.doc_id = cand.c_custkey)"""
 
@@ -148,7 +160,7 @@ prof AS (SELECT cand.*, s.skills_raw, d.text AS experience_text FROM cand
 @query("empty_profile", f"""
 WITH {PROFILE_SQL}
 SELECT candidate_id,
-  trim(coalesce(skills_raw, '')) = '' AND trim(coalesce(experience_text, '')) = '' AS is_empty
+  {BLANK_SQL} AS is_empty
 FROM prof
 """)
 def empty_profile(spark, sf_dir):
@@ -163,7 +175,7 @@ SELECT candidate_id, round_even(years_of_experience, 6) AS years_of_experience
 FROM prof
 WHERE NOT (regexp_matches(lower(candidate_id), '{KW}') OR regexp_matches(lower(anonymized_name), '{KW}')
   OR years_of_experience < 0 OR years_of_experience > 60 OR years_of_experience IS NULL
-  OR (trim(coalesce(skills_raw, '')) = '' AND trim(coalesce(experience_text, '')) = ''))
+  OR ({BLANK_SQL}))
 """)
 def sweep(spark, sf_dir):
     p = _profile_frame(Bindings(spark, sf_dir))
@@ -553,7 +565,7 @@ WITH {PROFILE_SQL},
 f AS (SELECT regexp_matches(lower(candidate_id), '{KW}') OR regexp_matches(lower(anonymized_name), '{KW}') AS f1,
   coalesce(years_of_experience IS NULL OR isnan(years_of_experience) OR years_of_experience < 0
            OR years_of_experience > 60, true) AS f2,
-  trim(coalesce(skills_raw, '')) = '' AND trim(coalesce(experience_text, '')) = '' AS f3 FROM prof)
+  {BLANK_SQL} AS f3 FROM prof)
 SELECT count(*) AS rows_in, count_if(f1 OR f2 OR f3) AS rows_removed,
   count_if(f1) AS keyword_hits, count_if(f2) AS experience_out_of_range, count_if(f3) AS empty_profiles
 FROM f

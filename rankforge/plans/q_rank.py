@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..config import RankConfig
 from ..functions import reasons as R
-from ..functions.vectors import blank_to_zero_vector, cosine, literal_vector, norm
+from ..functions.vectors import blank_to_zero_vector, cosine, cosine_to, literal_vector, norm, zero_vector
 from ..operators import stats as S
 from ..operators.career import trajectory_by_role
-from ..operators.features import (apply_intent, composite_vector, fit_intent, ranker_features,
+from ..operators.features import (apply_intent, composite_vector, fit_intent, of_length, ranker_features,
                                   signal_matrix)
 from ..operators.labels import query_groups as make_groups
 from ..operators.labels import weak_labels as make_labels
@@ -19,6 +19,7 @@ from ..operators.metrics import ndcg_at_k as ndcg_op
 from ..operators.metrics import null_counts, vector_health as vhealth
 from ..operators.rank import full_rank as rank_all
 from ..operators.rank import round6, top_k as take_top
+from ..session import cut_lineage
 from . import oracle_sql as O
 from .bindings import Bindings
 from .q_prep import CAREER_FULL_SQL
@@ -214,24 +215,27 @@ def cosine_zero(spark, sf_dir):
 @query("composite_vector", f"""
 WITH {O.slice_scored_sql()},
 comp AS (SELECT i.candidate_id,
-  list_concat({O.dbl_list('e.embedding')}, [{", ".join(f"i.s_{c}" for c in SLICE_COLS)}]) AS v,
+  list_concat(CASE WHEN e.embedding IS NULL THEN list_transform(range(64), lambda i: CAST(0 AS DOUBLE))
+    ELSE {O.dbl_list('e.embedding')} END, [{", ".join(f"i.s_{c}" for c in SLICE_COLS)}]) AS v,
   [c.cosine_similarity, {", ".join(f"i.s_{c}" for c in SLICE_COLS)}] AS feats
-  FROM scaled_i i JOIN embeddings e ON e.vec_id = i.c_custkey JOIN cosv c ON c.candidate_id = i.candidate_id)
+  FROM scaled_i i LEFT JOIN embeddings e ON e.vec_id = i.c_custkey JOIN cosv c ON c.candidate_id = i.candidate_id)
 SELECT candidate_id, CAST(len(v) AS INTEGER) AS dim,
   round_even(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm,
   round_even(list_sum(v), 6) AS total, round_even(list_sum(feats), 6) AS feature_sum
 FROM comp
 """)
 def composite_vector_q(spark, sf_dir):
-    """M8 (J3 equi-join of vectors and intent on the id) and M9 features."""
+    """M8 (J3: vectors joined to every candidate's intent on the id; a missing
+    vector counts as zeros, a wrong length is an error) and M9 features."""
     b = Bindings(spark, sf_dir)
     imp = slice_imputed(b, CFG)
     st = fit_intent(imp, SLICE_COLS)
     sc = apply_intent(imp, st)
-    job = literal_vector(b.job_vector(0))
-    j = sc.join(b.capvec(), "c_custkey")  # inner: only candidates with a vector
+    target = b.job_vector(0)
+    j = sc.join(b.capvec(), "c_custkey", "left")
+    j = j.withColumn("embedding", of_length(F.coalesce("embedding", zero_vector(len(target))), len(target)))
     scaled = [f"s_{c}" for c in SLICE_COLS]
-    j = j.withColumn("cos", cosine(F.col("embedding"), job))
+    j = j.withColumn("cos", cosine_to(F.col("embedding"), target))
     comp = composite_vector("embedding", scaled)
     feats = ranker_features("cos", scaled)
     return j.select("candidate_id", F.size(comp).alias("dim"), round6(norm(comp)).alias("norm"),
@@ -344,7 +348,7 @@ FROM short
 """)
 def contract_check(spark, sf_dir):
     """Row count = min(k, N), ranks a permutation of 1..n, unique ids."""
-    pool = scored_r6(spark, sf_dir)
+    pool = cut_lineage(scored_r6(spark, sf_dir).select("candidate_id", "score"))  # scored once, read twice
     s = take_top(pool, CFG.top_k)
     n_pool = pool.groupBy().agg(F.count(F.lit(1)).alias("pool_rows"))
     chk = s.groupBy().agg(F.count(F.lit(1)).alias("n_rows"),
@@ -368,11 +372,11 @@ def contract_check(spark, sf_dir):
 
 def _doc_scores(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    job = literal_vector(b.job_vector(0))
+    job = b.job_vector(0)
     d = b.t.documents.select("doc_id", "lang").join(b.t.labels.select("doc_id", "quality"), "doc_id")
     d = d.join(b.t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     return d.select("doc_id", "lang", F.col("quality").alias("label"),
-                    round6(cosine(F.col("embedding"), job)).alias("score"))
+                    round6(cosine_to(F.col("embedding"), job)).alias("score"))
 
 
 def _ndcg_sql(group: bool) -> str:
@@ -446,11 +450,13 @@ def vector_health(spark, sf_dir):
 # T8 / J2 / S12 metadata reason; T9 stable pick; T10-T13 / J1 / M15
 # ---------------------------------------------------------------------------
 
-def metadata_lookup(b: Bindings):
+def metadata_lookup(b: Bindings, wanted):
     """One metadata record per event, keyed by candidate; the last
-    record (highest event id) of an id wins.  ``max_by`` is combined
+    record (highest event id) of an id wins.  Events are cut to the wanted
+    candidates first (k ids, a bounded broadcast); ``max_by`` is combined
     map-side, so a hot id costs one partial row per task."""
-    e = b.t.events.select("event_id", "user_id", "event_type", "value",
+    ids = wanted.select(F.col("c_custkey").alias("user_id"))
+    e = b.t.events.join(F.broadcast(ids), "user_id", "left_semi").select("event_id", "user_id", "event_type", "value",
                           F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     rec = F.struct(F.concat(F.initcap("event_type"), F.lit(" Specialist")).alias("title"),
                    (F.col("value") / F.lit(10.0)).alias("years"), F.col("k").alias("n_skills"),
@@ -478,8 +484,8 @@ FROM short LEFT JOIN lk ON lk.candidate_id = short.candidate_id
 def metadata_reason(spark, sf_dir):
     """T8 + J2: the shortlist (k rows) joined with the metadata lookup."""
     b = Bindings(spark, sf_dir)
-    short = shortlist_r6(spark, sf_dir).select("candidate_id", "rank")
-    lk = metadata_lookup(b).withColumn("_known", F.lit(True))
+    short = cut_lineage(shortlist_r6(spark, sf_dir).select("candidate_id", "c_custkey", "rank"))
+    lk = metadata_lookup(b, short).withColumn("_known", F.lit(True))
     j = short.join(lk, "candidate_id", "left")
     return j.select("candidate_id", "rank",
                     R.metadata_sentence(F.coalesce(F.col("_known"), F.lit(False)), F.col("title"),
@@ -589,6 +595,7 @@ def _shortlist_with_traj(spark, sf_dir):
     bounded broadcast), then aggregated."""
     b = Bindings(spark, sf_dir)
     short = shortlist_r6(spark, sf_dir)
+    short = cut_lineage(short)  # k rows, read twice below
     keys = short.select("c_custkey")
     roles = b.career().join(F.broadcast(keys), "c_custkey", "left_semi")
     traj = trajectory_by_role(roles, "c_custkey", ref_date=CFG.ref_date)

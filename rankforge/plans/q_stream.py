@@ -7,14 +7,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import RankConfig
-from ..functions.vectors import cosine, literal_vector
-from ..operators import stats as S
-from ..operators.features import apply_intent, fit_intent
-from ..operators.rank import round6, top_k
-from ..session import scratch_path
+from ..functions.vectors import cosine_to
 from ..operators import ltr
+from ..operators import stats as S
+from ..operators.features import apply_intent
 from ..operators.labels import weak_labels
-from ..streaming.stream import read_sink, run_available_now, score_stream, text_stream
+from ..operators.metrics import one_row
+from ..operators.rank import round6, top_k
+from ..session import cut_lineage, scratch_path
+from ..streaming.stream import cut_to_batch, read_sink, run_available_now, score_stream, text_stream
 from .bindings import Bindings
 from .queries import MINIMAL_SLICE_SQL
 from .registry import query
@@ -52,10 +53,9 @@ def stream_score(spark, sf_dir):
     join, each micro-batch is upserted, and the top-k is read from the
     scored table.  Equals the batch slice."""
     b = Bindings(spark, sf_dir)
-    raw = slice_raw(b)
-    medians = S.fit_medians(raw, SLICE_COLS)
-    stats = fit_intent(S.apply_medians(raw, medians), SLICE_COLS)
-    job = literal_vector(b.job_vector(0))
+    raw = cut_lineage(slice_raw(b))  # aggregated once for both fits and the input files
+    medians, stats = S.fit_impute_and_scale(raw, SLICE_COLS)
+    job = b.job_vector(0)
     src, sink, ckpt = (scratch_path(spark, n) for n in ("cand-in", "cand-out", "cand-ckpt"))
     raw.select(F.to_json(F.struct("candidate_id", "c_custkey", *SLICE_COLS)).alias("value")) \
        .repartition(3).write.text(src)
@@ -67,8 +67,8 @@ def stream_score(spark, sf_dir):
 
     def score(stream):
         s = apply_intent(S.apply_medians(stream, medians), stats)
-        s = s.join(b.capvec(), "c_custkey", "left")
-        s = s.withColumn("cosine_similarity", cosine(F.col("embedding"), job))
+        s = s.join(cut_to_batch(b.capvec(), stream, "c_custkey"), "c_custkey", "left")
+        s = s.withColumn("cosine_similarity", cosine_to(F.col("embedding"), job))
         s = s.withColumn("score", F.lit(CFG.cosine_weight) * F.col("cosine_similarity")
                          + F.lit(CFG.intent_weight) * F.col("intent_score"))
         return s.select("candidate_id", round6(F.col("score")).alias("score"),
@@ -94,12 +94,12 @@ def _candidate_stream(spark, raw):
 
 def model_scorer(b, medians, stats, model):
     """Frozen per-row scoring: medians -> scaler -> cosine -> model."""
-    job = literal_vector(b.job_vector(0))
+    job = b.job_vector(0)
 
     def score(df):
         s = apply_intent(S.apply_medians(df, medians), stats)
-        s = s.join(b.capvec(), "c_custkey", "left")
-        s = s.withColumn("cosine_similarity", cosine(F.col("embedding"), job)).drop("embedding")
+        s = s.join(cut_to_batch(b.capvec(), df, "c_custkey"), "c_custkey", "left")
+        s = s.withColumn("cosine_similarity", cosine_to(F.col("embedding"), job)).drop("embedding")
         s = ltr.score(s, model, "score")
         return s.select("candidate_id", round6(F.col("score")).alias("score"))
     return score
@@ -108,20 +108,33 @@ def model_scorer(b, medians, stats, model):
 def fit_slice_model(spark, sf_dir, rounds=JOB_ROUNDS):
     """Batch side of ST2: medians, scaler and a model fitted on the table."""
     b = Bindings(spark, sf_dir)
-    raw = slice_raw(b)
-    medians = S.fit_medians(raw, SLICE_COLS)
-    stats = fit_intent(S.apply_medians(raw, medians), SLICE_COLS)
+    raw = cut_lineage(slice_raw(b))
+    medians, stats = S.fit_impute_and_scale(raw, SLICE_COLS)
     lab, _ = weak_labels(slice_scored(spark, sf_dir, CFG), probs=CFG.label_quantiles)
     feats = ["cosine_similarity", *[f"s_{c}" for c in SLICE_COLS]]
     model = ltr.fit_pointwise(lab, feats, "label", CFG, rounds=rounds)
     return b, raw, medians, stats, model
 
 
-@query("stream_model_score")
+@query("stream_model_score", f"""
+SELECT count(*) AS n_scored, least(count(*), {CFG.top_k}) AS n_top, TRUE AS ranks_ok, TRUE AS equals_batch
+FROM customer
+""")
 def stream_model_score(spark, sf_dir):
     """ST2 with a model: the stream is scored by a boosted model fitted on
-    the batch table (frozen), upserted per micro-batch, top-k read back."""
+    the batch table (frozen), upserted per micro-batch, top-k read back.
+    Returns what must hold: every candidate scored once, ranks 1 to k, and
+    streamed scores equal to batch scores."""
     b, raw, medians, stats, model = fit_slice_model(spark, sf_dir)
     sink, ckpt = scratch_path(spark, "model-out"), scratch_path(spark, "model-ckpt")
-    table = score_stream(_candidate_stream(spark, raw), model_scorer(b, medians, stats, model), sink, ckpt)
-    return top_k(table, CFG.top_k).select("candidate_id", "rank", "score")
+    scorer = model_scorer(b, medians, stats, model)
+    table = score_stream(_candidate_stream(spark, raw), scorer, sink, ckpt)
+    batch = scorer(raw).select("candidate_id", F.col("score").alias("batch_score"))
+    both = table.join(batch, "candidate_id", "full").agg(
+        F.count("score").alias("n_scored"),
+        F.coalesce(F.bool_and(F.coalesce(F.abs(F.col("score") - F.col("batch_score")) < 1e-9, F.lit(False))),
+                   F.lit(True)).alias("equals_batch"))
+    top = top_k(table, CFG.top_k).agg(
+        F.count("*").alias("n_top"),
+        ((F.count("*") == 0) | ((F.min("rank") == 1) & (F.max("rank") == F.count("*")))).alias("ranks_ok"))
+    return one_row(both, top).select("n_scored", "n_top", "ranks_ok", "equals_batch")

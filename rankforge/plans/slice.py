@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RankConfig
-from ..functions.vectors import cosine, literal_vector
+from ..functions.vectors import cosine_to
 from ..operators import stats as S
 from ..operators.features import apply_intent
 from ..session import cut_lineage
@@ -43,9 +43,8 @@ def slice_scored(spark, sf_dir: str, cfg: RankConfig = RankConfig(),
     medians, stats = S.fit_impute_and_scale(raw, SLICE_COLS, method=method,
                                             in_memory_rows=cfg.in_memory_quantile_rows)
     scored = apply_intent(S.apply_medians(raw, medians), stats)
-    job = literal_vector(b.job_vector(0))
     with_vec = scored.join(b.capvec(), "c_custkey", "left")
-    cos = cosine(F.col("embedding"), job)
+    cos = cosine_to(F.col("embedding"), b.job_vector(0))
     return (with_vec.withColumn("cosine_similarity", cos)
                     .drop("embedding")
                     .withColumn("score", F.lit(cfg.cosine_weight) * F.col("cosine_similarity")

@@ -27,25 +27,37 @@ def text_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1)
             .load(path))
 
 
-def batch_folder_writer(sink_path: str, fmt: str = "parquet"):
-    """foreachBatch function: each micro-batch overwrites only its own folder."""
+def batch_folder_writer(sink_path: str, fmt: str = "parquet",
+                        per_batch: Callable[[DataFrame], DataFrame] | None = None):
+    """foreachBatch function: each micro-batch overwrites only its own folder.
+    ``per_batch`` sees the micro-batch as a plain DataFrame, so it can cut
+    static tables to the batch's keys and is planned adaptively."""
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        (batch_df.withColumn("_batch", F.lit(batch_id).cast("bigint"))
-                 .write.mode("overwrite").format(fmt).save(f"{sink_path}/batch={batch_id}"))
+        out = batch_df if per_batch is None else per_batch(batch_df)
+        (out.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite").format(fmt).save(f"{sink_path}/batch={batch_id}"))
     return write
 
 
+def cut_to_batch(static: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The rows of a static table that a micro-batch asks for."""
+    return static.join(batch.select(key).distinct(), key, "left_semi")
+
+
 def run_available_now(stream: DataFrame, sink_path: str, checkpoint_path: str,
                       transform: Callable[[DataFrame], DataFrame] | None = None,
-                      timeout_s: float | None = None) -> int:
+                      timeout_s: float | None = None,
+                      per_batch: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Process everything available now, then stop; returns the number of
     micro-batches that produced output."""
     out = transform(stream) if transform is not None else stream
-    q = (out.writeStream.foreachBatch(batch_folder_writer(sink_path))
+    q = (out.writeStream.foreachBatch(batch_folder_writer(sink_path, per_batch=per_batch))
          .option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True)
          .start())
-    q.awaitTermination(timeout_s)
+    if not q.awaitTermination(timeout_s) and timeout_s is not None:
+        q.stop()
+        raise TimeoutError(f"the stream did not finish within {timeout_s} s; its sink is incomplete")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     progress = q.recentProgress
@@ -71,5 +83,5 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], sin
     (medians, scaler, model, target vector - all fitted on a batch table),
     upsert each micro-batch into the scored table, and return the upsert
     view (latest row per key), from which a top-k is read."""
-    run_available_now(stream, sink_path, checkpoint_path, score, timeout_s)
+    run_available_now(stream, sink_path, checkpoint_path, timeout_s=timeout_s, per_batch=score)
     return latest_per_key(read_sink(stream.sparkSession, sink_path), key)
