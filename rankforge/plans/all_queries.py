@@ -9,5 +9,5 @@ def load() -> None:
     global _loaded
     if _loaded:
         return
-    from . import q_io, q_jobs, q_prep, q_rank, q_stream, queries  # noqa: F401
+    from . import q_entries, q_io, q_jobs, q_prep, q_rank, q_stream, queries  # noqa: F401
     _loaded = True

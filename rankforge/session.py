@@ -68,9 +68,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_to_table(df: DataFrame, name: str) -> DataFrame:
+    """Write to a Parquet table in the shared folder and read it back: like a
+    checkpoint, but later readers scan only the columns they use."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a
-    machine-local temporary folder): intermediate tables, round trips."""
+    """A fresh folder under the checkpoint folder: intermediate tables, round
+    trips.  On a cluster that is the shared folder of `spark.checkpoint.dir`;
+    only a local run without that setting has a temporary folder there."""
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/rankforge-scratch/{name}-{uuid.uuid4().hex[:12]}"
