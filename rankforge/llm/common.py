@@ -129,14 +129,14 @@ def arrow(kind: str):
     return F.arrow_udf(kind)
 
 
-def sliced(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
-    """The values of an Arrow column, about ``size`` bytes at a time: Python
-    holds one slice, however many long rows a batch has."""
+def sliced(texts: pa.Array, size: int, rows: int = 32_768) -> Iterator[list[str | None]]:
+    """The values of an Arrow column, about ``size`` bytes and at most
+    ``rows`` rows at a time: Python holds one slice, whatever a batch has."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         full = (ends[at - 1] if at else 0) + size
-        end = min(max(at + 1, int(np.searchsorted(ends, full, side="right"))), at + 32_768)
+        end = min(max(at + 1, int(np.searchsorted(ends, full, side="right"))), at + rows)
         yield texts.slice(at, end - at).to_pylist()
         at = end
 

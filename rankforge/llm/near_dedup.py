@@ -6,8 +6,9 @@ registers of the text's sketch; a register keeps the shingle that came first,
 and a shingle stops as soon as its next arrival is later than the latest
 register, so long texts cost little more than one arrival a shingle.  Two
 sketches agree in a register with the probability Jaccard similarity of the
-texts.  Bands of registers are bucket keys; bucket mates are verified with
-the exact Jaccard similarity of their distinct shingles.
+texts.  Bands of registers are bucket keys; bucket mates whose whole sketches
+(a bit a register) do not rule it out are verified with the exact Jaccard
+similarity of their distinct shingles.
 
 Inside a bucket no list of all pairs is made.  A few leaders are compared
 with the members of other classes, verified links merge classes, leaders
@@ -28,15 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, mix64, row_mark, sliced, stored, text_or_empty, without_rows, word_hashes
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS = 24, 6
-LEADERS = 8
+BANDS, ROWS = 48, 10
+#: Leaders of a bucket in the first rounds (taken from all members) and later
+#: (from the members outside the largest class).
+EARLY, LEADERS = (1, 16, 16), 64
 _LOW48 = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -71,6 +74,7 @@ def sketch(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: int,
     first = np.full(texts * size, np.inf)
     who = np.zeros(texts * size, np.uint64)
     live, when, turn = np.arange(len(code)), np.zeros(len(code)), 0
+    latest = np.full(texts, np.inf)
     single = np.bincount(owner, minlength=texts)[owner] == 1
     for t, c in zip(owner[single], code[single]):  # one element wins every register
         who[t * size:(t + 1) * size] = c
@@ -85,8 +89,10 @@ def sketch(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: int,
         np.minimum.at(first, at, now)
         won = now == first[at]
         who[at[won]] = code[live[won]]
-        latest = first.reshape(texts, size).max(axis=1)
-        live = live[now < latest[owner[live]]]
+        mine = owner[live]
+        open_ = np.unique(mine)
+        latest[open_] = first.reshape(texts, size)[open_].max(axis=1)
+        live = live[now < latest[mine]]
     return who.reshape(texts, size)
 
 
@@ -98,22 +104,42 @@ def band_keys(who: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bit_sketch(who: np.ndarray) -> np.ndarray:
+    """One bit a register, 64 to a word: (texts, words of 64 registers)."""
+    bits = (mix64(who.ravel()) & np.uint64(1)).astype(np.uint8).reshape(who.shape)
+    spare = -who.shape[1] % 64
+    return np.packbits(np.pad(bits, ((0, 0), (0, spare))), axis=1).view(np.int64)
+
+
+def _far_sketches(a: str, b: str, similar: float, registers: int) -> Column:
+    """Whether the bit sketches rule the similarity out: agreement of a bit is
+    (1 + J) / 2, and three standard deviations are granted."""
+    p = (1 - similar) / 2
+    most = registers * p + 3 * (registers * p * (1 - p)) ** 0.5
+    words = -(-registers // 64)
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0)) > F.lit(int(most))
+
+
 def sketches(df: DataFrame, keep: list[str], text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``keep`` columns, words (16-byte key of the word sequence, null without
-    words), n (distinct shingles) and bands (array of bucket keys)."""
+    words), n (distinct shingles), bands (array of bucket keys) and bits (the
+    sketch, a bit a register)."""
 
-    @arrow("words binary, n int, bands array<long>")
+    @arrow("words binary, n int, bands array<long>, bits array<long>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for texts in sliced(batch, 1 << 21):
+            for texts in sliced(batch, 1 << 21, 2048):
                 names, owner, code = shingles(texts)
                 owner, code, count = distinct(owner, code)
                 who = sketch(owner, code, 1 + np.log(count), len(names), bands * rows)
                 number = np.bincount(owner, minlength=len(names)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * bands),
                                                  pa.array(band_keys(who, bands, rows).ravel()))
-                yield pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(number), lists],
-                                                 names=["words", "n", "bands"])
+                bits = bit_sketch(who)
+                packed = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * bits.shape[1]),
+                                                  pa.array(bits.ravel()))
+                yield pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(number), lists, packed],
+                                                 names=["words", "n", "bands", "bits"])
 
     return df.select(*keep, made(text_or_empty(text)).alias("_made")).select(*keep, "_made.*")
 
@@ -147,31 +173,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def _bucket_links(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
-    """All links that decide the classes, from buckets (band, node, n).
+    """All links that decide the classes, from buckets (band, node, n, bits).
 
-    Every round: leaders of a bucket (the smallest node of each slot; one
-    slot in the first round) meet the members of other classes, then leave.
+    Every round: some members of a bucket (the smallest node of each slot)
+    meet the members of other classes, then leave.  The first rounds take
+    them from all members: a few members of a large class catch nearly all
+    that belong to it.  Later ones take those outside the largest class,
+    until one class is left.
     """
     links, cls, turn = None, None, 0
     rest = buckets
     while True:
         own = rest if cls is None else rest.join(cls, "node", "left")
         own = own.withColumn("cls", F.col("node") if cls is None else F.coalesce("cls", "node"))
-        mixed = own.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("band")
-        own = stored(own.join(mixed, "band", "left_semi"), "buckets")
+        mixed = (own.groupBy("band", "cls").agg(F.count("*").alias("k")).groupBy("band")
+                 .agg(F.max(F.struct("k", "cls")).alias("top"), F.count("*").alias("classes"))
+                 .filter("classes > 1").select("band", F.col("top.cls").alias("top")))
+        own = stored(own.join(mixed, "band"), "buckets")
         if own.isEmpty():
             return links
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(LEADERS if turn else 1))
-        leaders = stored(own.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("node", "n", "cls")).alias("x"))
-                         .select("band", F.col("x.node").alias("leader"), F.col("x.n").alias("m"),
-                                 F.col("x.cls").alias("their")), "leaders")
-        met = (own.join(leaders, "band").filter((F.col("cls") != F.col("their")) & _close_sizes("n", "m", similar))
+        early = turn < len(EARLY)
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(EARLY[turn] if early else LEADERS))
+        chosen = (own if early else own.filter("cls <> top")).groupBy("band", slot.alias("slot")).agg(
+            F.min(F.struct("node", "n", "cls", "bits")).alias("x"))
+        leaders = stored(chosen.select("band", F.col("x.node").alias("leader"), F.col("x.n").alias("m"),
+                                       F.col("x.cls").alias("their"), F.col("x.bits").alias("their_bits")), "leaders")
+        met = (own.join(leaders, "band")
+               .filter((F.col("cls") != F.col("their")) & _close_sizes("n", "m", similar)
+                       & ~_far_sketches("bits", "their_bits", similar, BANDS * ROWS))
                .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
         new = stored(_verified(met, sets, similar), "links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             cls = components(links)
-        rest = (own.select("band", "node", "n")
+        rest = (own.select("band", "node", "n", "bits")
                 .join(leaders.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti"))
         turn += 1
 
@@ -184,9 +219,9 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
     first = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row"))
     nodes = stored(rows.filter("words is not null").groupBy("words")
                    .agg(F.min("row").alias("node"), F.min(first).alias("first"), F.count("*").alias("size"),
-                        F.min(F.struct("row", "n", "bands")).alias("x"))
-                   .select("words", "node", "first", "size", "x.n", "x.bands"), "nodes")
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+                        F.min(F.struct("row", "n", "bands", "bits")).alias("x"))
+                   .select("words", "node", "first", "size", "x.n", "x.bands", "x.bits"), "nodes")
+    banded = nodes.select("node", "n", "bits", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
     buckets = stored(banded.join(shared, "band", "left_semi"), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(
