@@ -221,9 +221,10 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
                    .agg(F.min("row").alias("node"), F.min(first).alias("first"), F.count("*").alias("size"),
                         F.min(F.struct("row", "n", "bands", "bits")).alias("x"))
                    .select("words", "node", "first", "size", "x.n", "x.bands", "x.bits"), "nodes")
-    banded = nodes.select("node", "n", "bits", F.explode("bands").alias("band"))
+    # only (band, node) goes through the large shuffles; sizes and sketches join what is left
+    banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
-    buckets = stored(banded.join(shared, "band", "left_semi"), "buckets")
+    buckets = stored(banded.join(shared, "band", "left_semi").join(nodes.select("node", "n", "bits"), "node"), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(
         "node", "words", F.col("first.key").alias("wanted_key"))
     texts = (slim.join(wanted, slim.key.eqNullSafe(wanted.wanted_key))
