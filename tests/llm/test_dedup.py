@@ -173,3 +173,15 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 3)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 102), 100)}
+
+
+def test_small_sketches_count_differing_registers(spark):
+    rng = np.random.default_rng(6)
+    who = rng.integers(0, 1 << 47, (2, 480)).astype(np.uint64)
+    who[1, :400] = who[0, :400]
+    bits = near_dedup.bit_sketch(who)
+    assert bits.shape == (2, 30)
+    df = spark.createDataFrame([(bits[0].tolist(), bits[1].tolist(), bits[0].tolist())], "a array<long>, b array<long>, c array<long>")
+    row = df.select(near_dedup._far_sketches("a", "b", 0.8, 480).alias("near"), near_dedup._far_sketches("a", "b", 0.95, 480).alias("far"),
+                    near_dedup._far_sketches("a", "c", 0.99, 480).alias("same")).first()
+    assert (row.near, row.far, row.same) == (False, True, False)
