@@ -1,12 +1,14 @@
 """Near duplicates by ProbMinHash.
 
-A text is the set of its five-word shingles, weighted 1 + ln(count).  Every
+A text is the set of its distinct five-word shingles, all of weight 1.  Every
 shingle sends a Poisson process of arrivals (rate = weight) to random
 registers of the text's sketch; a register keeps the shingle that came first,
 and a shingle stops as soon as its next arrival is later than the latest
 register, so long texts cost little more than one arrival a shingle.  Two
 sketches agree in a register with the probability Jaccard similarity of the
-texts.  Bands of registers are bucket keys; bucket mates whose whole sketches
+texts, which at equal weights is the Jaccard similarity that decides the
+classes: weights by count would part texts that differ in how often a line is
+repeated.  Bands of registers are bucket keys; bucket mates whose whole sketches
 (four bits a register) do not rule it out are verified with the exact Jaccard
 similarity of their distinct shingles.
 
@@ -61,11 +63,11 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[list[bytes | None],
     return keys, owner[whole], mix64(code[whole])
 
 
-def distinct(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, 48-bit code and count of the distinct shingles."""
+def distinct(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and 48-bit code of the distinct shingles."""
     both = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (code & _LOW48))
     new = np.flatnonzero(np.diff(both, prepend=both[:1] ^ np.uint64(1))) if len(both) else np.zeros(0, np.int64)
-    return (both[new] >> np.uint64(48)).astype(np.int64), both[new] & _LOW48, np.diff(np.append(new, len(both)))
+    return (both[new] >> np.uint64(48)).astype(np.int64), both[new] & _LOW48
 
 
 def sketch(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: int, size: int) -> np.ndarray:
@@ -136,8 +138,8 @@ def sketches(df: DataFrame, keep: list[str], text: str = "text", bands: int = BA
         for batch in batches:
             for texts in sliced(batch, 1 << 21, 2048):
                 names, owner, code = shingles(texts)
-                owner, code, count = distinct(owner, code)
-                who = sketch(owner, code, 1 + np.log(count), len(names), bands * rows)
+                owner, code = distinct(owner, code)
+                who = sketch(owner, code, np.ones(len(code)), len(names), bands * rows)
                 number = np.bincount(owner, minlength=len(names)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * bands),
                                                  pa.array(band_keys(who, bands, rows).ravel()))

@@ -139,6 +139,18 @@ def test_near_groups_chains_and_shared_passages(spark):
     check_near(rows, near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
 
 
+def test_near_groups_with_repeated_lines(spark):
+    """Copies that differ by one line, repeated 20 to 500 times."""
+    rows = []
+    for i, (words, times) in enumerate([(100, 20), (100, 100), (100, 500), (150, 100), (150, 470)] * 3):
+        body = variants(100 + i, 1, words, 0)[0]
+        line = " ".join(f"line{i}w{j}" for j in range(8))
+        rows += [(2 * i, body), (2 * i + 1, "\n".join([body] + [line] * times))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.class_size == 2 for r in got) == len(rows)
+    check_near(rows, got)
+
+
 def test_near_sample(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     check_near([tuple(r) for r in docs.select("doc_id", "text").collect()], near_dedup.near_groups(docs).collect())
