@@ -171,6 +171,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _CACHE: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the hash base and of its inverse."""
+    if "p" not in _CACHE or len(_CACHE["p"][0]) < n:
+        _CACHE["p"] = _powers(max(1 << 20, n))
+    return _CACHE["p"]
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts`` and the number of words of each.
 
@@ -184,9 +191,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = _IS_WORD[low].view(np.int8)
     edge = np.diff(word, prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if "p" not in _CACHE or len(_CACHE["p"][0]) < len(buf):
-        _CACHE["p"] = _powers(max(1 << 20, len(buf)))
-    up, down = _CACHE["p"]
+    up, down = powers(len(buf))
     sums = np.concatenate([np.zeros(1, np.uint64),
                            np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(buf)])])
     h = (sums[end] - sums[start]) * down[start]

@@ -10,13 +10,20 @@ whose cosine to a passage of an item is high enough makes the stretch of text
 around it a candidate.  All passages of all texts are searched; the items are
 the stated query set and are compared in blocks.
 
+Short items fill only part of a passage and can miss the cosine, so an exact
+index of the items' word runs stands beside the search.  It holds the three-
+or four-word runs of every item, of which a stretch with 0.8 of an item keeps
+a known number however its words were dropped or replaced; stretches with
+that many are candidates as well.
+
 Candidates are decided on the words themselves: the longest common
 subsequence of the item and the stretch must cover 0.8 of the item, or, for
-paraphrases, 0.6 of its content words while its answer (the last words, or a
-given answer column) is found as well.
+paraphrases, 0.6 of its content words while its
+answer (the last words, or a given answer column) is found as well.
 
-Items of fewer than 8 words cannot be told from chance and match nothing;
-null and empty texts, likewise.  Equal items give one row each; repeated rows
+Items of fewer than 8 words match by the exact run of all their words; null
+and empty texts match nothing.  The cosine of what only the index found is
+null.  Equal items give one row each; repeated rows
 of documents are reported once each.
 """
 
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, row_mark, sliced, text_or_empty, without_rows, word_hashes
+from .common import map_arrow, powers, row_mark, sliced, text_or_empty, without_rows, word_hashes
 
 BITS, RANK, HALF = 14, 64, 16
 FEATURES = 1 << BITS
@@ -203,6 +210,49 @@ class Sequence:
         return self.size - v.bit_count()
 
 
+def run_hashes(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Hash of the run of each size that starts at each word."""
+    up, down = powers(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:len(words)])])
+    return {k: (sums[k:] - sums[:-k]) * down[:len(words) - k + 1] for k in sizes if k <= len(words)}
+
+
+class Runs:
+    """Word runs of the items: which to look for, and what they tell.
+
+    Items under LEAST_WORDS are one run.  Others have all runs of ``width``
+    words, of which a stretch with the ``verbatim`` share keeps ``least``
+    when words were dropped or replaced.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, config: Config):
+        kept = np.ceil(config.verbatim * counts - 1e-9).astype(np.int64)
+        parts = counts - kept + 1  # runs that the lost words leave
+        short = counts < LEAST_WORDS
+        self.width = np.where(short, counts, np.where(kept > 3 * parts, 4, 3))
+        self.least = np.where(short, 1, np.maximum(1, kept - (self.width - 1) * parts))
+        item = np.repeat(np.arange(len(counts)), counts)
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashes))
+        self.index = {}
+        for k, code in run_hashes(hashes, sorted({*self.width[counts > 0].tolist()})).items():
+            at = np.flatnonzero((left >= k) & (self.width[item] == k))
+            pairs = np.unique(np.array([code[at], item[at].astype(np.uint64)]), axis=1)
+            some = np.zeros(1 << 20, bool)
+            some[pairs[0] >> np.uint64(44)] = True
+            if len(at):
+                self.index[k] = pairs[0], pairs[1].astype(np.int64), some
+
+    def hits(self, words: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(run size, position, item); ``left``: words from a position to the end of its text."""
+        for k, code in run_hashes(words, list(self.index)).items():
+            key, item, some = self.index[k]
+            at = np.flatnonzero(some[code >> np.uint64(44)])
+            at = at[left[at] >= k]
+            lo = np.searchsorted(key, code[at], "left")
+            n = np.searchsorted(key, code[at], "right") - lo
+            yield k, np.repeat(at, n), item[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 class Items:
     """The benchmark items as queries."""
 
@@ -213,6 +263,7 @@ class Items:
         self.ids, self.config, self.size = ids, config, b.counts
         lists = [hashes[e - n:e] for e, n in zip(ends, b.counts)]
         self.whole = [Sequence(x.tolist()) for x in lists]
+        self.runs = Runs(hashes, b.counts, config)
         feature = [(x >> np.uint64(64 - BITS)).astype(np.int64) for x in lists]
         self.content = [Sequence(x[space.content[f]].tolist()) for x, f in zip(lists, feature)]
         told = word_hashes([a or "" for a in answers])
@@ -226,13 +277,13 @@ class Items:
         self.latent = unit(latent[long_enough])
         self.words = passage_words(b, first[long_enough], two[long_enough])
 
-    def verdict(self, i: int, stretch: list[int]) -> tuple[float, float, bool] | None:
+    def verdict(self, i: int, stretch: list[int], sure: bool = False) -> tuple[float, float, bool] | None:
         c = self.config
         whole = self.whole[i].common(stretch) / self.whole[i].size
         inner = self.content[i]
         content = inner.common(stretch) / inner.size if inner.size >= 4 else whole
         answer = self.answer[i].common(stretch) >= c.answer * self.answer[i].size
-        if whole >= c.verbatim or (inner.size >= 4 and content >= c.paraphrase and answer):
+        if (sure or whole >= c.verbatim or (inner.size >= 4 and content >= c.paraphrase and answer):
             return whole, content, answer
         return None
 
@@ -272,12 +323,21 @@ def candidates(b: Blocks, items: Items, table: np.ndarray) -> tuple[np.ndarray,
 
 def search(b: Blocks, items: Items, table: np.ndarray) -> list[tuple[int, int, float, float, float, bool]]:
     """(text, item, cosine, share of the item, of its content, answer found),
-    the best stretch of each text and item."""
+    the best stretch of each text and item; the cosine is nan where only the
+    run index found it."""
     at, item, near = candidates(b, items, table)
     of = np.repeat(np.arange(len(b.per_text)), b.per_text)
     base = np.cumsum(b.per_text) - b.per_text
     flat = b.words.ravel()
     best: dict[tuple[int, int], tuple] = {}
+
+    def judge(t: int, i: int, lo: int, hi: int, cosine: float, sure: bool = False) -> None:
+        begin = int(base[t]) * HALF
+        got = items.verdict(i, flat[max(begin, lo):min(begin + int(b.counts[t]), hi)].tolist(), sure)
+        if got is not None:
+            old = best.get((t, i), (cosine, -1.0))
+            best[t, i] = (float(np.fmax(old[0], cosine)), *max(got, old[1:]))
+
     order = np.lexsort((at, item, of[at]))
     at, item, near = at[order], item[order], near[order]
     text = of[at]
@@ -288,16 +348,21 @@ def search(b: Blocks, items: Items, table: np.ndarray) -> list[tuple[int, int, f
             end += 1
         t, i = int(text[k]), int(item[k])
         room = int(items.size[i])
-        begin = int(base[t]) * HALF
-        lo = max(begin, int(at[k]) * HALF - room)
-        hi = min(begin + int(b.counts[t]), (int(at[end - 1]) + 2) * HALF + room)
-        got = items.verdict(i, flat[lo:hi].tolist())
-        if got is not None:
-            new = (float(near[k:end].max()), *got)
-            old = best.get((t, i))
-            if old is None or new[1:] > old[1:]:
-                best[t, i] = new
+        judge(t, i, int(at[k]) * HALF - room, (int(at[end - 1]) + 2) * HALF + room, float(near[k:end].max()))
         k = end
+    left = np.repeat(base * HALF + b.counts, b.per_text * HALF) - np.arange(len(flat))
+    for k, at, item in items.runs.hits(flat, left):
+        order = np.lexsort((at, item))
+        at, item = at[order], item[order]
+        text, room = of[at // HALF], items.size[item]
+        new = np.ones(len(at), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (np.diff(at) > room[1:])
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(at))
+        sure = items.size[item[start]] < LEAST_WORDS
+        for x in np.flatnonzero(sure | (end - start >= items.runs.least[item[start]])):
+            a, z = start[x], end[x] - 1
+            judge(int(text[a]), int(item[a]), int(at[a] - room[a]), int(at[z] + k + room[a]), np.nan, bool(sure[x]))
     return [(t, i, *v) for (t, i), v in best.items()]
 
 
@@ -342,7 +407,7 @@ def _finder(shared):
             i, near, whole, content, answer = zip(*found) if found else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pick), batch.column(1).take(pick),
-                 pa.array([items.ids[x] for x in i], pa.string()), pa.array(np.round(near, 4), pa.float64()),
+                 pa.array([items.ids[x] for x in i], pa.string()), pa.array(np.round(near, 4), pa.float64(), from_pandas=True),
                  pa.array(whole, pa.float64()), pa.array(content, pa.float64()), pa.array(answer, pa.bool_())],
                 names=["key", "mark", "item", "cosine", "overlap", "content_overlap", "answer_found"])
 

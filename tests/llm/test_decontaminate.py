@@ -64,6 +64,24 @@ def test_paraphrases_and_clean_texts(spark, world):
     assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in got}
 
 
+def test_short_items(spark, world):
+    """Whole items of 3 to 31 words in random documents."""
+    rng, vocabulary, text = world
+    rare = [[vocabulary[j] for j in rng.integers(0, 3000, n)] for n in (*range(3, 32), *range(3, 32))]
+    bench = rare
+    docs, planted = [], set()
+    for i, item in enumerate(bench):
+        planted.add((len(docs), i))
+        docs.append(text(130) + item + text(141))
+    clean = range(len(docs), len(docs) + 150)
+    docs += [text(260) for _ in clean]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(bench)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.matches(frame, asked).collect()}
+    assert planted - got == set()
+    assert not {d for d, _ in got} & set(clean)
+
+
 def test_given_answers_decide_paraphrases(world):
     _, _, text = world
     item = text(30)
