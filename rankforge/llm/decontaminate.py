@@ -17,9 +17,10 @@ a known number however its words were dropped or replaced; stretches with
 that many are candidates as well.
 
 Candidates are decided on the words themselves: the longest common
-subsequence of the item and the stretch must cover 0.8 of the item, or, for
-paraphrases, 0.6 of its content words while its
-answer (the last words, or a given answer column) is found as well.
+subsequence of the item and the stretch must cover 0.8 of the item or of one
+of its passages, or, for paraphrases, 0.6 of its content words while its
+answer (the last words, or a given answer column) is found as well.  A run of
+13 words of an item is a hit by itself.
 
 Items of fewer than 8 words match by the exact run of all their words; null
 and empty texts match nothing.  The cosine of what only the index found is
@@ -54,6 +55,7 @@ class Config:
     answer_words: int = 5
     common: float = 0.02  # words in more half-passages than this are no content words
     item_block: int = 20_000
+    run: int = 13  # words of an item in a row that are a hit by themselves
 
 
 @dataclass
@@ -222,7 +224,7 @@ class Runs:
 
     Items under LEAST_WORDS are one run.  Others have all runs of ``width``
     words, of which a stretch with the ``verbatim`` share keeps ``least``
-    when words were dropped or replaced.
+    when words were dropped or replaced, and those of ``config.run`` words.
     """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, config: Config):
@@ -234,8 +236,8 @@ class Runs:
         item = np.repeat(np.arange(len(counts)), counts)
         left = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashes))
         self.index = {}
-        for k, code in run_hashes(hashes, sorted({*self.width[counts > 0].tolist()})).items():
-            at = np.flatnonzero((left >= k) & (self.width[item] == k))
+        for k, code in run_hashes(hashes, sorted({*self.width[counts > 0].tolist(), config.run})).items():
+            at = np.flatnonzero((left >= k) & ((self.width[item] == k) | (~short[item] & (k == config.run))))
             pairs = np.unique(np.array([code[at], item[at].astype(np.uint64)]), axis=1)
             some = np.zeros(1 << 20, bool)
             some[pairs[0] >> np.uint64(44)] = True
@@ -263,6 +265,9 @@ class Items:
         self.ids, self.config, self.size = ids, config, b.counts
         lists = [hashes[e - n:e] for e, n in zip(ends, b.counts)]
         self.whole = [Sequence(x.tolist()) for x in lists]
+        size = 2 * HALF
+        self.parts = [[Sequence(x[a:a + size].tolist()) for a in sorted({*range(0, len(x) - size, HALF), len(x) - size})]
+                      if len(x) > size else [] for x in lists]
         self.runs = Runs(hashes, b.counts, config)
         feature = [(x >> np.uint64(64 - BITS)).astype(np.int64) for x in lists]
         self.content = [Sequence(x[space.content[f]].tolist()) for x, f in zip(lists, feature)]
@@ -283,7 +288,8 @@ class Items:
         inner = self.content[i]
         content = inner.common(stretch) / inner.size if inner.size >= 4 else whole
         answer = self.answer[i].common(stretch) >= c.answer * self.answer[i].size
-        if (sure or whole >= c.verbatim or (inner.size >= 4 and content >= c.paraphrase and answer):
+        if (sure or whole >= c.verbatim or (inner.size >= 4 and content >= c.paraphrase and answer)
+                or any(p.common(stretch) >= c.verbatim * p.size for p in self.parts[i])):
             return whole, content, answer
         return None
 
@@ -359,7 +365,7 @@ def search(b: Blocks, items: Items, table: np.ndarray) -> list[tuple[int, int, f
         new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (np.diff(at) > room[1:])
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(at))
-        sure = items.size[item[start]] < LEAST_WORDS
+        sure = (k == items.config.run) | (items.size[item[start]] < LEAST_WORDS)
         for x in np.flatnonzero(sure | (end - start >= items.runs.least[item[start]])):
             a, z = start[x], end[x] - 1
             judge(int(text[a]), int(item[a]), int(at[a] - room[a]), int(at[z] + k + room[a]), np.nan, bool(sure[x]))

@@ -64,15 +64,17 @@ def test_paraphrases_and_clean_texts(spark, world):
     assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in got}
 
 
-def test_short_items(spark, world):
-    """Whole items of 3 to 31 words in random documents."""
+def test_short_items_and_parts_of_items(spark, world):
+    """Whole items of 3 to 31 words, and stretches of long items, in random documents."""
     rng, vocabulary, text = world
     rare = [[vocabulary[j] for j in rng.integers(0, 3000, n)] for n in (*range(3, 32), *range(3, 32))]
-    bench = rare
+    long = [text(n) for n in (63, 63, 120, 200)]
+    bench = rare + long
     docs, planted = [], set()
     for i, item in enumerate(bench):
+        body = item if i < len(rare) else item[5:5 + min(45, len(item) // 2)]
         planted.add((len(docs), i))
-        docs.append(text(130) + item + text(141))
+        docs.append(text(130) + body + text(141))
     clean = range(len(docs), len(docs) + 150)
     docs += [text(260) for _ in clean]
     frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
