@@ -20,6 +20,8 @@ Null and empty texts have no spans; repeated rows are read row by row.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ RULES = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]")),
 }
 #: Identifier-like tokens: five digits and letters at least, one digit first or behind a short prefix.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,6}+[-#/]?[0-9](?:[-/.]?[A-Za-z0-9]){4,38}+"
+CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,6}+[-#/]?[0-9](?:[-/.]?[A-Za-z0-9]){4,}+"
 
 _SPAN = "struct<start:int,stop:int,value:string,before:string>"
 
@@ -95,9 +97,11 @@ def _ranked(kind: str):
 
 
 def _pattern(before: Column) -> Column:
-    """The word (with its punctuation) in front, lower case; null if there is none."""
-    word = F.lower(F.regexp_extract(before, r"(\S{1,40})[ \t]*$", 1))
-    return F.when(word.rlike(r"\p{L}"), word)
+    """The nearest word with a letter in front and the punctuation behind it
+    (blanks out), lower case; null if the line has none."""
+    near = F.regexp_extract(before, r"([^\s\p{L}]{0,20}+\p{L}[^\s\p{L}]{0,20}+(?:\p{L}[^\s\p{L}]{0,20}+){0,39}+(?:[ \t]++[^\s\p{L}]++){0,3}+)[ \t]*+$", 1)
+    word = F.lower(F.regexp_replace(near, r"[ \t]", ""))
+    return F.when(word != "", word)
 
 
 def read(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -111,16 +115,17 @@ def read(df: DataFrame, key: str, text: str) -> DataFrame:
             .select(F.monotonically_increasing_id().alias("row"), "key", "base", free.alias("free")))
 
 
-def score_graph(edges: DataFrame, rounds: int, support: int, reliable: float, sure: float) -> DataFrame:
+def score_graph(edges: DataFrame, rounds: int | None, support: int, reliable: float, sure: float) -> DataFrame:
     """Accepted (pattern, instance) edges.
 
     ``edges``: distinct pattern, instance, seed (whether a rule found the
     instance).  A pattern is accepted with ``support`` known instances and a
     share of known ones of at least ``reliable``; an unseen instance when the
-    patterns that found it leave a doubt below 1 - ``sure``.
+    patterns that found it leave a doubt below 1 - ``sure``.  Ends when no
+    instance is added, or after ``rounds``.
     """
     known = stored(edges.groupBy("instance").agg(F.max("seed").alias("seed")).filter("seed").select("instance"), "known")
-    for turn in range(rounds):
+    for turn in count(1):
         marked = edges.join(known.withColumn("known", F.lit(1)), "instance", "left")
         patterns = (marked.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("known", F.lit(0))).alias("k"))
                     .withColumn("trust", F.col("k") / F.col("n"))
@@ -131,14 +136,14 @@ def score_graph(edges: DataFrame, rounds: int, support: int, reliable: float, su
                  .agg(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))).alias("doubt"))
                  .filter(F.exp("doubt") <= 1 - sure).select("instance"))
         grown = stored(known.union(doubt).distinct(), "known")
-        done = turn + 1 == rounds or grown.count() == known.count()
+        done = turn == rounds or grown.count() == known.count()
         known = grown
         if done:
             break
     return edges.join(patterns, "pattern").join(known, "instance", "left_semi").select("pattern", "instance", "score")
 
 
-def find(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 4, support: int = 3,
+def find(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int | None = None, support: int = 3,
          reliable: float = 0.5, sure: float = 0.5) -> DataFrame:
     """key and spans (array<struct<kind, start, stop>> by start, then kind) of
     every row."""

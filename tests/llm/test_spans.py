@@ -77,6 +77,15 @@ def test_pii_base_spans(spark):
     check_query(got, texts, PII, tuple(PII), pii_spans)
 
 
+def test_pii_context_spans_reach_the_token_end(spark):
+    """Long tokens behind a quote, '=' or a lone ':' are spans to their end."""
+    seeds = [f'mail = "u{i}@x.org" ' for i in range(30)]
+    tokens = [f'mail = "4{"0123456789abcdef" * 4}{i:03d}" ' for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(seeds + tokens)), "doc_id int, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in pii.find(df).collect()}
+    assert all(got[30 + i] == [("context", 8, len(t) - 2)] for i, t in enumerate(tokens))
+
+
 def test_secret_base_spans(spark):
     texts = fuzz(SECRET_PARTS, 1500, 2) + ["f" * 30_000, "token=" * 5000, "AKIA" * 9000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
