@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, hilbert, language, licenses, near_dedup, pii, secrets, token_counts
+from . import bpe, collocations, decontaminate, exact_dedup, hilbert, language, licenses, near_dedup, pages, pii, secrets, token_counts, tries
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,73 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("mark")
+
+
+#: Counts, cuts and absorption in DuckDB; words of a piece by position.
+COLLOCATION_ORACLE = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+listed AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece),
+size AS (SELECT lang, sum(len(ws)) AS n FROM listed GROUP BY lang),
+gram AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i : i + k - 1])) AS g
+         FROM listed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+freq AS (SELECT lang, k, g, count(*) AS a FROM gram GROUP BY ALL HAVING count(*) >= 30),
+held AS (SELECT lang, s, max(a) AS a FROM (
+           SELECT lang, a, unnest(list_filter([g[1:2], g[2:3], CASE WHEN k > 3 THEN g[3:4] END, CASE WHEN k > 3 THEN g[1:3] END,
+                                               CASE WHEN k > 3 THEN g[2:4] END], lambda x: x IS NOT NULL)) AS s FROM freq WHERE k > 2) GROUP BY ALL),
+kept AS (SELECT f.* FROM freq f LEFT JOIN held h ON f.lang = h.lang AND f.g = h.s WHERE f.k > 1 AND (h.a IS NULL OR 100 * h.a < 80 * f.a)),
+cut AS (SELECT c.lang, c.g, c.a, c.cut, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c
+        JOIN freq l ON l.lang = c.lang AND l.g = c.g[1:c.cut] JOIN freq r ON r.lang = c.lang AND r.g = c.g[c.cut + 1:c.k]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+named AS (SELECT *, array_to_string(g, ' ') AS phrase FROM best),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM named)
+SELECT p.lang, p.rank::BIGINT AS rank, p.phrase, p.a::BIGINT AS a, p.l::BIGINT AS l, p.r::BIGINT AS r, s.n::BIGINT AS n, p.score::BIGINT AS score
+FROM placed p JOIN size s ON s.lang = p.lang WHERE p.rank <= 2000"""
+
+
+@query("op11_toivonen_collocations", COLLOCATION_ORACLE)
+def op11_toivonen_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+#: Rebuilt conversations as text prefixes; CRC-32 (reflected, 0xEDB88320) of the decimal id bit by bit.
+TRIE_ORACLE = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c FROM t),
+crc AS (SELECT c, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+          lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)),
+                                   lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END))) % 6 AS h FROM ids),
+turns AS (SELECT crc.c, t.p AS o, t.role, t.text FROM crc JOIN t ON t.c = crc.c - crc.c % 100 AND t.p <= h
+          UNION ALL SELECT crc.c, 1000000 + t.p, t.role, t.text FROM crc JOIN t ON t.c = crc.c AND t.p > h),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY o) AS d FROM turns),
+path AS (SELECT c, d, length(text) AS size, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d) AS k FROM numbered
+         UNION ALL SELECT c, 0, 0, [] FROM ids),
+full_size AS (SELECT c, max(d) AS d FROM path GROUP BY c),
+node AS (SELECT p.k, p.d, min(p.c) AS conv_id, count(*) AS n_convs, max(size) AS size,
+                coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (p.d = f.d), '') AS ends
+         FROM path p JOIN full_size f USING (c) GROUP BY p.k, p.d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (SELECT a.k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((b.n_convs - 1) * b.size) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM node) b LEFT JOIN kids ON kids.k = b.k
+          JOIN node a ON a.d = b.up AND a.k = b.k[1:b.up] GROUP BY a.k)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+       below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM node n JOIN below ON below.k = n.k LEFT JOIN kids ON kids.k = n.k LEFT JOIN node u ON n.d > 0 AND u.d = n.d - 1 AND u.k = n.k[1:n.d - 1]"""
+
+
+@query("op12_contracted_trie", TRIE_ORACLE)
+def op12_contracted_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the conversations rebuilt with the head of their hundred's first one."""
+    c = F.col("c")
+    head = F.crc32(c.cast("string").cast("binary")) % 6
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"), base=c - c % 100, head=head).drop("k1", "k2")
+
+
+@query("op13_nearest_url_text")
+def op13_nearest_url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pages.main_text(table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
