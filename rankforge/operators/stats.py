@@ -7,24 +7,29 @@ whole-stage code generation and needs no join.
 
 Exact quantiles
 ---------------
-Spark's ``percentile`` keeps a value->count map per group; for a global
-aggregate the final merge happens in one task, which is fine for millions
-of rows but not for billions.  ``exact_quantiles`` therefore switches to a
-distributed selection above ``in_memory_rows``: every pass is a
-``groupBy(probe, bucket)`` with map-side combine whose output is bounded by
-``probes x buckets`` rows; each pass narrows every probe's value range to
-one bucket.  Values are never collected unless a bucket holds at most
-``final_rows`` of them.
+One path at every size.  The first scan makes a mergeable sketch (KLL) of
+each column; its quantiles at the target rank +- `RANK_ERROR` bracket the
+value sought.  The closing scan counts the values below each bracket and
+those inside it one by one, which gives the exact value and proves the
+bracket right; a bracket that missed is widened and closed again.  A bracket
+that would hold more than `FINAL_VALUES` values is first narrowed by a sketch
+of its inside, so that what reaches the driver is bounded whatever the data.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SKETCH_SIZE = 2048  #: rank error of about 0.2 % at 0.99 confidence
+RANK_ERROR = 0.005  #: half width of a bracket, in ranks
+FINAL_VALUES = 100_000  #: values of a bracket that the closing scan counts one by one
+SLICES = 1000  #: quantiles asked of a bracket that is too wide
+
 
 def nan_to_null(c: Column) -> Column:
     """NaN -> NULL (Spark orders NaN above every number in percentiles)."""
@@ -46,135 +51,137 @@ def _interp(values_at: dict, n: int, p: float) -> float | None:
     return (hi - pos) * a + (pos - lo) * b
 
 
-def _targets(n: int, probs: Sequence[float]) -> list[int]:
-    out = set()
-    for p in probs:
-        pos = p * (n - 1)
-        out.add(math.floor(pos))
-        out.add(math.ceil(pos))
-    return sorted(out)
+@dataclass
+class _Column:
+    """What the first scan knows of a column."""
 
+    rows: int        # of the table
+    n: int           # values, without null and NaN
+    least: float | None
+    most: float | None
 
-def _in_memory_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]):
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = [F.percentile(nan_to_null(F.col(c)), arr).alias(f"q{i}") for i, c in enumerate(cols)]
-    row = df.agg(*aggs).collect()[0]
-    out = {}
-    for i, c in enumerate(cols):
-        vals = row[f"q{i}"]
-        out[c] = [None] * len(probs) if vals is None else [float(v) for v in vals]
-    return out
 
+@dataclass
+class _Probe:
+    """A bracket around the values of two neighbouring ranks of a column."""
 
-def _distributed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                           buckets: int = 4096, final_rows: int = 4096, max_passes: int = 16):
-    spark = df.sparkSession
-    # long format: (cidx, v) without nulls/NaN; one scan feeds every pass
-    stack_args = ", ".join(f"{i}, `{c}`" for i, c in enumerate(cols))
-    # not persisted: a stacked copy would be len(cols) times the data.  Each
-    # pass re-reads only these columns; the stack fuses into the scan and the
-    # histogram is combined map-side, so every shuffle is tiny.
-    long = (df.select(*[nan_to_null(F.col(c)).alias(c) for c in cols])
-              .selectExpr(f"stack({len(cols)}, {stack_args}) as (cidx, v)")
-              .where("v is not null"))
-    first = long.groupBy("cidx").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
-                                     F.max("v").alias("hi")).collect()
-    stats = {r["cidx"]: (r["n"], r["lo"], r["hi"]) for r in first}
-    # probe: (cidx, target rank) -> [lo, hi, rank within range]
-    probes = {}
-    answers = {}
-    for i in range(len(cols)):
-        if i not in stats:
-            continue
-        n, lo, hi = stats[i]
-        for t in _targets(n, probs):
-            probes[(i, t)] = [lo, hi, t]
-    for _ in range(max_passes):
-        open_probes = {k: v for k, v in probes.items() if k not in answers}
-        for k, (lo, hi, _r) in list(open_probes.items()):
-            if lo == hi:
-                answers[k] = lo
-                del open_probes[k]
-        if not open_probes:
-            break
-        keys = list(open_probes)
-        probe_df = spark.createDataFrame(
-            [(pid, k[0], float(open_probes[k][0]), float(open_probes[k][1]))
-             for pid, k in enumerate(keys)],
-            "pid int, cidx int, lo double, hi double")
-        joined = long.join(F.broadcast(probe_df), "cidx").where("v >= lo and v <= hi")
-        bucket = F.least(F.lit(buckets - 1),
-                         F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-                                 * F.lit(buckets)).cast("int"))
-        hist = (joined.groupBy("pid", bucket.alias("b"))
-                      .agg(F.count("*").alias("n"), F.min("v").alias("bmin"),
-                           F.max("v").alias("bmax"))
-                      .collect())
-        by_pid: dict[int, list] = {}
-        for r in hist:
-            by_pid.setdefault(r["pid"], []).append((r["b"], r["n"], r["bmin"], r["bmax"]))
-        small = []
-        for pid, k in enumerate(keys):
-            rank = open_probes[k][2]
-            seen = 0
-            for b, n, bmin, bmax in sorted(by_pid.get(pid, [])):
-                if seen + n > rank:
-                    if bmin == bmax:
-                        answers[k] = bmin
-                    elif n <= final_rows:
-                        small.append((k, bmin, bmax, rank - seen))
-                    probes[k] = [bmin, bmax, rank - seen]
-                    break
-                seen += n
-        for k, lo, hi, r in small:
-            vals = [row[0] for row in long.where((F.col("cidx") == k[0])
-                                                 & (F.col("v") >= lo) & (F.col("v") <= hi))
-                    .select("v").orderBy("v").collect()]
-            answers[k] = vals[r]
-    out = {}
-    for i, c in enumerate(cols):
-        if i not in stats:
-            out[c] = [None] * len(probs)
-            continue
-        n = stats[i][0]
-        at = {t: answers[(i, t)] for t in _targets(n, probs)}
-        out[c] = [_interp(at, n, p) for p in probs]
-    return out
+    col: int
+    ranks: tuple[int, int]
+    low: float
+    high: float
+    inside: float    # about how many values the bracket holds
+    error: float     # of a sketch, in ranks
+
+    def widen(self, known: _Column) -> None:
+        """After a miss: the whole column again, and a sketch is trusted less."""
+        self.low, self.high, self.inside = known.least, known.most, known.n
+        self.error = max(2 * self.error, 1.0 / SLICES)
 
 
-def _choose(rows: int, n_cols: int, in_memory_rows: int) -> str:
-    """``percentile`` keeps one value map per column in the final task, so the
-    bound is on rows x columns (``in_memory_rows`` counts single-column rows)."""
-    return "in_memory" if rows * max(1, n_cols) <= in_memory_rows else "distributed"
+def _sketch(x: Column) -> Column:
+    return F.kll_sketch_agg_double(x, F.lit(SKETCH_SIZE))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    method: str = "auto", in_memory_rows: int = 20_000_000) -> dict:
+def _around(p: float) -> list[float]:
+    return [max(0.0, p - RANK_ERROR), min(1.0, p + RANK_ERROR)]
+
+
+def _first_scan(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> tuple[list[_Column], list[_Probe]]:
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    at = F.array(*[F.lit(r) for p in probs for r in _around(p)])
+    for i, c in enumerate(cols):
+        x = nan_to_null(F.col(c))
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
+        if probs:
+            aggs.append(F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(_sketch(x), at)).alias(f"q{i}"))
+    row = df.agg(*aggs).collect()[0]
+    known, probes = [], []
+    for i in range(len(cols)):
+        n, least, most = row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"]
+        known.append(_Column(row["rows"], n, least, most))
+        for j, p in enumerate(probs):
+            if n:
+                q = row[f"q{i}"]
+                pos = p * (n - 1)
+                low, high = (least, most) if n <= SKETCH_SIZE else (q[2 * j], q[2 * j + 1])
+                probes.append(_Probe(i, (math.floor(pos), math.ceil(pos)), low, high, min(n, 2 * RANK_ERROR * n + SKETCH_SIZE), RANK_ERROR))
+    return known, probes
+
+
+def _narrowed(df: DataFrame, cols: Sequence[str], known: list[_Column], probes: list[_Probe]) -> None:
+    """One scan that shrinks wide brackets by a sketch of what lies inside."""
+    aggs, at = [], F.array(*[F.lit(i / SLICES) for i in range(SLICES + 1)])
+    for i, p in enumerate(probes):
+        x = nan_to_null(F.col(cols[p.col]))
+        held = F.when((x >= p.low) & (x <= p.high), x)
+        aggs += [F.count_if(x < p.low).alias(f"b{i}"), F.count(held).alias(f"n{i}"),
+                 F.when(F.count(held) > 0, F.kll_sketch_get_quantile_double(_sketch(held), at)).alias(f"q{i}")]
+    row = df.agg(*aggs).collect()[0]
+    for i, p in enumerate(probes):
+        below, n = row[f"b{i}"], row[f"n{i}"]
+        if not below <= p.ranks[0] <= p.ranks[1] < below + n:  # the bracket missed: start over from the whole column
+            p.widen(known[p.col])
+            continue
+        first, last = ((r - below) / max(1, n - 1) for r in p.ranks)
+        a = max(0, math.floor((first - p.error) * SLICES))
+        b = min(SLICES, math.ceil((last + p.error) * SLICES))
+        p.low, p.high, p.inside = row[f"q{i}"][a], row[f"q{i}"][b], n * (b - a) / SLICES
+
+
+def _closed(df: DataFrame, cols: Sequence[str], known: list[_Column], probes: list[_Probe]) -> dict[int, dict[int, float]]:
+    """Values at the ranks of the probes, from one exact counting scan each time."""
+    values: dict[int, dict[int, float]] = {i: {} for i in range(len(cols))}
+    while probes:
+        wide = [p for p in probes if p.inside > FINAL_VALUES and p.low < p.high]
+        if wide:
+            _narrowed(df, cols, known, wide)
+            continue
+        entry = [F.struct(F.lit(i).alias("p"), nan_to_null(F.col(cols[p.col])).alias("v"), F.lit(float(p.low)).alias("low"), F.lit(float(p.high)).alias("high"))
+                 for i, p in enumerate(probes)]
+        counts = (df.select(F.explode(F.array(*entry)).alias("e")).filter("e.v <= e.high")
+                  .groupBy("e.p", F.when(F.col("e.v") >= F.col("e.low"), F.col("e.v")).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect())
+        missed = []
+        for i, p in enumerate(probes):
+            own = [(r["v"], r["n"]) for r in counts if r["p"] == i]
+            upto = sum(n for v, n in own if v is None)
+            found: dict[int, float] = {}
+            if upto <= p.ranks[0]:
+                for v, n in sorted(x for x in own if x[0] is not None):
+                    for rank in p.ranks:
+                        if upto <= rank < upto + n:
+                            found[rank] = v
+                    upto += n
+            if len(found) < len(set(p.ranks)):
+                p.widen(known[p.col])
+                missed.append(p)
+            values[p.col] |= found
+        probes = missed
+    return values
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
     """Exact linear-interpolation quantiles per column (NULL/NaN ignored).
 
     Returns ``{col: [q(p) for p in probs]}``; a column without values maps
-    to ``None`` entries.  ``method``: ``auto`` | ``in_memory`` | ``distributed``.
-    """
-    cols = list(cols)
+    to ``None`` entries."""
+    return _with_quantiles(df, list(cols), list(probs))[1]
+
+
+def _with_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> tuple[list[_Column], dict]:
     if not cols:
-        return {}
-    if method == "auto":
-        method = _choose(df.count(), len(cols), in_memory_rows)
-    if method == "in_memory":
-        return _in_memory_quantiles(df, cols, probs)
-    if method == "distributed":
-        return _distributed_quantiles(df, cols, probs)
-    raise ValueError(f"unknown quantile method {method!r}")
+        return [], {}
+    known, probes = _first_scan(df, cols, probs)
+    values = _closed(df, cols, known, probes)
+    return known, {c: [_interp(values[i], known[i].n, p) for p in probs] for i, c in enumerate(cols)}
 
 
 # ---------------------------------------------------------------------------
 # medians (A1 / A2)
 # ---------------------------------------------------------------------------
 
-def fit_medians(df: DataFrame, cols: Iterable[str], method: str = "auto",
-                in_memory_rows: int = 20_000_000) -> dict:
+def fit_medians(df: DataFrame, cols: Iterable[str]) -> dict:
     """Exact median per column; a column with no value gets 0.0."""
-    q = exact_quantiles(df, list(cols), [0.5], method=method, in_memory_rows=in_memory_rows)
+    q = exact_quantiles(df, list(cols), [0.5])
     return {c: (0.0 if v[0] is None else float(v[0])) for c, v in q.items()}
 
 
@@ -242,32 +249,25 @@ def stats_from_frame(df: DataFrame, kind: str) -> dict:
 # fused fit: medians + the min/max the imputed columns will have
 # ---------------------------------------------------------------------------
 
-def fit_impute_and_scale(df: DataFrame, cols: Sequence[str], method: str = "auto",
-                         in_memory_rows: int = 20_000_000) -> tuple[dict, dict]:
+def fit_impute_and_scale(df: DataFrame, cols: Sequence[str]) -> tuple[dict, dict]:
     """Medians (A1) and the min-max statistics (A5) of the median-filled
-    columns, from one algebraic pass plus the median pass.
+    columns, from the two scans of the medians.
 
     Filling NULL/NaN with the median m changes a column's range only by
     adding m, so min(filled) = min(min(x), m) when anything was missing
     (max likewise) - exact, and no pass over the filled data is needed."""
     cols = list(cols)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        x = nan_to_null(F.col(c))
-        aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.count(x).alias(f"n{i}")]
-    row = df.agg(*aggs).collect()[0]
-    rows = row["_rows"]
-    if method == "auto":
-        method = _choose(rows, len(cols), in_memory_rows)
-    medians = fit_medians(df, cols, method=method, in_memory_rows=in_memory_rows)
+    known, q = _with_quantiles(df, cols, [0.5])
+    medians = {c: (0.0 if v[0] is None else float(v[0])) for c, v in q.items()}
     ranges = {}
-    for i, c in enumerate(cols):
+    for c, k in zip(cols, known):
         m = medians[c]
-        mn, mx, n = row[f"mn{i}"], row[f"mx{i}"], row[f"n{i}"]
-        if n == 0:
+        if k.n == 0:
             mn = mx = m
-        elif n < rows:
-            mn, mx = min(float(mn), m), max(float(mx), m)
-        rng = float(mx) - float(mn)
-        ranges[c] = (float(mn), rng if rng != 0.0 else 1.0)
+        else:
+            mn, mx = float(k.least), float(k.most)
+            if k.n < k.rows:
+                mn, mx = min(mn, m), max(mx, m)
+        rng = mx - mn
+        ranges[c] = (mn, rng if rng != 0.0 else 1.0)
     return medians, ranges

@@ -73,7 +73,7 @@ FROM raw, med
 """)
 def impute_all_columns(spark, sf_dir):
     frame = _a2_frame(Bindings(spark, sf_dir))
-    filled, _ = clean.impute(frame, method="auto")
+    filled, _ = clean.impute(frame)
     out = filled.select(*A2_NUM, *A2_TXT)
     return _r6(out.withColumn("c_custkey", F.col("c_custkey").cast("double")), A2_NUM)
 

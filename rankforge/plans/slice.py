@@ -25,14 +25,13 @@ def slice_raw(b: Bindings) -> DataFrame:
     return cand.join(b.sig_features(), "c_custkey", "left")
 
 
-def slice_imputed(b: Bindings, cfg: RankConfig = RankConfig(), method: str = "auto") -> DataFrame:
+def slice_imputed(b: Bindings, cfg: RankConfig = RankConfig()) -> DataFrame:
     raw = slice_raw(b)
-    med = S.fit_medians(raw, SLICE_COLS, method=method, in_memory_rows=cfg.in_memory_quantile_rows)
+    med = S.fit_medians(raw, SLICE_COLS)
     return S.apply_medians(raw, med)
 
 
-def slice_scored(spark, sf_dir: str, cfg: RankConfig = RankConfig(),
-                 method: str = "auto") -> DataFrame:
+def slice_scored(spark, sf_dir: str, cfg: RankConfig = RankConfig()) -> DataFrame:
     """candidate_id, c_custkey, cosine_similarity, intent_score, score (unrounded),
     plus the scaled columns ``s_*``.
 
@@ -40,8 +39,7 @@ def slice_scored(spark, sf_dir: str, cfg: RankConfig = RankConfig(),
     statistics pass, the median pass and the scoring pass all read it."""
     b = Bindings(spark, sf_dir)
     raw = cut_lineage(slice_raw(b))
-    medians, stats = S.fit_impute_and_scale(raw, SLICE_COLS, method=method,
-                                            in_memory_rows=cfg.in_memory_quantile_rows)
+    medians, stats = S.fit_impute_and_scale(raw, SLICE_COLS)
     scored = apply_intent(S.apply_medians(raw, medians), stats)
     with_vec = scored.join(b.capvec(), "c_custkey", "left")
     cos = cosine_to(F.col("embedding"), b.job_vector(0))

@@ -1,4 +1,4 @@
-"""Exact quantiles (both methods), medians, min-max and the fused fit."""
+"""Exact quantiles, medians, min-max and the fused fit."""
 import math
 import random
 
@@ -24,24 +24,30 @@ def _np_q(vals, p):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_quantiles_match_numpy_both_methods(spark, seed):
-    df = _frame(spark, 700, seed)
+@pytest.mark.parametrize("rows", [700, 9000])
+def test_quantiles_match_numpy(spark, seed, rows):
+    df = _frame(spark, rows, seed)
     rows = df.collect()
-    probs = [0.25, 0.5, 0.75]
-    for method in ("in_memory", "distributed"):
-        q = S.exact_quantiles(df, ["a", "b", "c"], probs, method=method)
-        for col in ("a", "b"):
-            vals = [r[col] for r in rows]
-            for p, got in zip(probs, q[col]):
-                assert got == pytest.approx(_np_q(vals, p), rel=1e-12, abs=1e-12), (method, col, p)
-        assert q["c"] == [None, None, None]
-
-
-def test_distributed_quantile_small_buckets(spark):
-    df = spark.range(5000).selectExpr("cast(id * 7 % 1009 as double) as x")
-    q = S._distributed_quantiles(df, ["x"], [0.1, 0.5, 0.9], buckets=4, final_rows=8)
-    vals = [r[0] for r in df.collect()]
-    assert q["x"] == pytest.approx([float(np.quantile(vals, p)) for p in (0.1, 0.5, 0.9)])
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    q = S.exact_quantiles(df, ["a", "b", "c"], probs)
+    for col in ("a", "b"):
+        vals = [r[col] for r in rows]
+        for p, got in zip(probs, q[col]):
+            assert got == pytest.approx(_np_q(vals, p), rel=1e-12, abs=1e-12), (col, p)
+    assert q["c"] == [None] * 5
+
+
+@pytest.mark.parametrize(("final", "error"), [(8, 0.005), (100_000, 0.0), (50, 0.0)])
+def test_wide_and_missed_brackets_are_repaired(spark, monkeypatch, final, error):
+    """Tiny limits force narrowing scans, a bracket of no width the second try."""
+    monkeypatch.setattr(S, "SKETCH_SIZE", 64)
+    monkeypatch.setattr(S, "FINAL_VALUES", final)
+    monkeypatch.setattr(S, "RANK_ERROR", max(error, 0.03 if final < 100_000 else 0.0))
+    df = spark.range(20_000).selectExpr("cast(id * 7919 % 10007 as double) / 3 as x", "if(id % 3 = 0, 1e300, cast(id as double)) as y")
+    q = S.exact_quantiles(df, ["x", "y"], [0.1, 0.5, 0.9])
+    rows = df.collect()
+    for c in ("x", "y"):
+        assert q[c] == pytest.approx([float(np.quantile([r[c] for r in rows], p)) for p in (0.1, 0.5, 0.9)], rel=1e-12)
 
 
 def test_medians_fill_and_all_missing(spark):
