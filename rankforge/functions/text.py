@@ -53,10 +53,49 @@ def replacement_literal(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+# Forms of dates that are tried after YYYY-MM and the ISO forms,
+# each behind a pattern of its own so that no parser sees what it could misread.
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+MONTH_WORD = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
+              r"oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?")
+DATE_FORMS = (  # pattern, and which of its groups are year, month, day (0: the first)
+    (r"(\d{4})", (1, 0, 0)),
+    (r"(\d{4})[/.](\d{1,2})", (1, 2, 0)),
+    (r"(\d{4})[/.](\d{1,2})[/.](\d{1,2})", (1, 2, 3)),
+    (r"(\d{1,2})[/.-](\d{4})", (2, 1, 0)),
+    (r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 1, 2)),
+    (r"(\d{1,2})\.(\d{1,2})\.(\d{4})", (3, 2, 1)),
+    (rf"{MONTH_WORD}[\s,/-]+(\d{{4}})", (2, 1, 0)),
+    (rf"(\d{{4}})[\s,/-]+{MONTH_WORD}", (1, 2, 0)),
+    (rf"{MONTH_WORD}\s+(\d{{1,2}})(?:st|nd|rd|th)?[\s,]+(\d{{4}})", (3, 1, 2)),
+    (rf"(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{MONTH_WORD}[\s,-]+(\d{{4}})", (3, 2, 1)),
+)
+
+
+def _as_month(word: Column) -> Column:
+    """Number of a month given in digits or by name."""
+    named = F.instr(F.lit(MONTHS), F.substring(word, 1, 3)) + 3
+    return F.when(word.rlike("^[0-9]+$"), word.try_cast("int")).otherwise((named / 4).cast("int"))
+
+
+def parse_free_date(x: Column) -> Column:
+    """A date in one of `DATE_FORMS`, any case, blanks trimmed; month before
+    day between slashes, day before month between dots; otherwise NULL."""
+    s = F.lower(strip(x.cast("string")))
+    out = None
+    for pattern, groups in DATE_FORMS:
+        whole = f"^{pattern}$"
+        year, month, day = (F.regexp_extract(s, whole, g) if g else F.lit("1") for g in groups)
+        plain = F.concat(year, F.lit("-"), _as_month(month).cast("string"), F.lit("-"), day)
+        out = F.when(s.rlike(whole), plain) if out is None else out.when(s.rlike(whole), plain)
+    return F.try_to_timestamp(out, F.lit("yyyy-M-d"))
+
+
 def parse_partial_date(x: Column) -> Column:
-    """T5: 'YYYY-MM' first, then the general parser; otherwise NULL."""
+    """T5: 'YYYY-MM' first, then the general parser, then the free forms;
+    otherwise NULL."""
     s = x.cast("string")
-    return F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM")), F.try_to_timestamp(s))
+    return F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM")), F.try_to_timestamp(s), parse_free_date(s))
 
 
 def month_diff(start: Column, end: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType
 
 from ..config import DECLARED_INTENT_COLUMNS, SIGNAL_KEYS, TEXT_COLUMN_PREFERENCE
 from ..functions.variant import tolerant_double
+from ..session import cut_lineage
 from . import stats as S
 
 
@@ -88,6 +89,37 @@ def composite_vector(vec_col: str, intent_cols: Sequence[str]) -> F.Column:
                     F.array(*[F.col(c).cast("double") for c in intent_cols]))
 
 
+def _one_side(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """Both inputs by key, each row once; a key that only one of them has, or
+    that one of them has twice, fails the job and is named in the error."""
+    a = left.groupBy(key).agg(F.count(F.lit(1)).alias("_na"), F.first(F.struct("*")).alias("_a"))
+    b = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nb"), F.first(F.struct("*")).alias("_b"))
+    both = a.join(b, key, "full")
+    count = [F.coalesce(c, F.lit(0)) for c in ("_na", "_nb")]
+    told = F.concat(F.lit("Mismatch: key "), F.coalesce(F.col(key).cast("string"), F.lit("null")),
+                    *[x for n, c in zip(names, count) for x in (F.lit(f", {n}: "), c.cast("string"))])
+    return both.withColumn("_a", F.when((count[0] == 1) & (count[1] == 1), F.col("_a")).otherwise(F.raise_error(told)))
+
+
+def composite_from_signals(texts: DataFrame, signals: DataFrame, key: str, text_col: str, signals_col: str, encode,
+                           keys: Sequence[str] = SIGNAL_KEYS) -> DataFrame:
+    """M8 from raw signal objects: key, capability, intent, composite and
+    boundary (where the intent part starts).
+
+    ``texts`` and ``signals`` must hold the same keys, each once.  The eleven
+    signals (M6) are min-max scaled over the whole input; ``encode`` is a
+    vectoriser that keeps the column ``key`` (M1)."""
+    a = texts.select(F.col(key), F.col(text_col).alias("text"))
+    b = signals.select(F.col(key), F.col(signals_col).alias("_signals"))
+    both = _one_side(a, b, key, ("texts", "signals"))
+    raw = cut_lineage(signal_matrix(both.select(key, F.col("_a.text").alias("text"), F.col("_b._signals").alias("_signals")), "_signals", keys).drop("_signals"))
+    st = S.fit_minmax(raw, keys)
+    scaled = raw.withColumn("intent", F.array(*[S.minmax_expr(c, st[c]) for c in keys])).select(key, "text", "intent")
+    vec = encode(scaled.select(key, "text", "intent"))
+    return vec.select(key, F.col("vec").cast("array<double>").alias("capability"), "intent",
+                      F.concat(F.col("vec").cast("array<double>"), F.col("intent")).alias("composite"), F.size("vec").alias("boundary"))
+
+
 def of_length(vec: F.Column, dim: int) -> F.Column:
     """The vector itself; any other length than ``dim`` fails the job."""
     wrong = F.concat(F.lit(f"a vector of {dim} values is needed, found "), F.size(vec).cast("string"))

@@ -503,6 +503,28 @@ def partial_dates(spark, sf_dir):
                     .cast("bigint").alias("months"))
 
 
+#: Forms of a date for the query below, by order key: day, month or year given.
+_FORMS = (("yyyy-MM-dd", "day"), ("MMM yyyy", "month"), ("MMMM yyyy", "month"), ("yyyy/MM", "month"), ("M/d/yyyy", "day"),
+          ("d.M.yyyy", "day"), ("d MMMM yyyy", "day"), ("MMM d, yyyy", "day"), ("yyyy", "year"), ("MM-yyyy", "month"))
+
+
+@query("free_dates", f"""
+SELECT o_orderkey, CASE o_orderkey % {len(_FORMS) + 2}
+  {" ".join(f"WHEN {i} THEN date_trunc('{unit}', o_orderdate)" for i, (_, unit) in enumerate(_FORMS))} ELSE NULL END::TIMESTAMP AS ts
+FROM orders
+""")
+def free_dates(spark, sf_dir):
+    """T5 on free forms ("Jan 2023", "2023/01", "3.1.2023") and junk."""
+    o = Bindings(spark, sf_dir).t.orders
+    which, told = F.pmod("o_orderkey", F.lit(len(_FORMS) + 2)), F.lit("13/45/2020")
+    for i, (form, _) in enumerate(_FORMS):
+        text = F.date_format("o_orderdate", form)
+        told = F.when(which == i, F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), F.upper(text))).otherwise(text)).otherwise(told)
+    told = F.when(which == len(_FORMS), "present").otherwise(told)
+    return (o.select("o_orderkey", told.alias("told"))
+            .select("o_orderkey", parse_partial_date(F.col("told")).cast("timestamp_ntz").alias("ts")))
+
+
 CAREER_FULL_SQL = f"""{O.CAREER},
 roles AS (SELECT c_custkey,
   CASE WHEN duration_months IS NOT NULL THEN duration_months

@@ -11,14 +11,15 @@ from ..functions import reasons as R
 from ..functions.vectors import blank_to_zero_vector, cosine, cosine_to, literal_vector, norm, zero_vector
 from ..operators import stats as S
 from ..operators.career import trajectory_by_role
-from ..operators.features import (apply_intent, composite_vector, fit_intent, of_length, ranker_features,
-                                  signal_matrix)
+from ..operators.features import (apply_intent, composite_from_signals, composite_vector, fit_intent, of_length,
+                                  ranker_features, signal_matrix)
 from ..operators.labels import query_groups as make_groups
 from ..operators.labels import weak_labels as make_labels
 from ..operators.metrics import ndcg_at_k as ndcg_op
 from ..operators.metrics import null_counts, vector_health as vhealth
 from ..operators.rank import full_rank as rank_all
 from ..operators.rank import round6, top_k as take_top
+from ..operators.vectors import top_matches
 from ..session import cut_lineage
 from . import oracle_sql as O
 from .bindings import Bindings
@@ -243,6 +244,52 @@ def composite_vector_q(spark, sf_dir):
                     round6(F.aggregate(feats, F.lit(0.0), lambda a, x: a + x)).alias("feature_sum"))
 
 
+@query("jobs_top10", f"""
+WITH job AS (SELECT b.item_id, {O.dbl_list('e.embedding')} AS jv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+cand AS (SELECT vec_id, {O.dbl_list('embedding')} AS v FROM embeddings),
+scored AS (SELECT item_id, vec_id, round_even(coalesce(list_dot_product(v, jv) /
+    nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(jv, jv)), 0), 0.0), 6) AS cosine_similarity FROM job, cand)
+SELECT item_id, rank, vec_id, cosine_similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine_similarity DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+""")
+def jobs_top10(spark, sf_dir):
+    """J4 for many jobs: every benchmark item as a job, its ten nearest candidates."""
+    b = Bindings(spark, sf_dir)
+    vecs = b.capvec().withColumnRenamed("c_custkey", "vec_id")
+    jobs = b.t.benchmark.select("item_id").join(vecs, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
+    # small blocks, so that the jobs take several
+    return top_matches(vecs, "vec_id", "embedding", jobs, "item_id", "embedding", k=10, block_bytes=1 << 14)
+
+
+@query("composite_signals", f"""
+WITH {O.SIGF},
+v AS (SELECT c_custkey,
+  n_view / (n_click + n_view + n_purchase + n_signup + n_error) AS profile_completeness_score,
+  CASE WHEN n_signup > 0 THEN 1.0 ELSE 0.0 END AS open_to_work_flag,
+  n_view AS profile_views_received_30d, n_purchase AS applications_submitted_30d,
+  0.0 AS recruiter_response_rate, avg_value AS avg_response_time_hours,
+  n_click AS connection_count, 0.0 AS notice_period_days, 0.0 AS github_activity_score,
+  n_error / (n_click + n_view + n_purchase + n_signup + n_error) AS interview_completion_rate,
+  0.0 AS offer_acceptance_rate FROM sigf),
+mm AS (SELECT {", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in SIG11)} FROM v)
+SELECT c_custkey, {O.dbl_list('e.embedding')}[1] AS first_value, CAST(len(e.embedding) AS INTEGER) AS boundary,
+  CAST(len(e.embedding) + 11 AS INTEGER) AS dim, round_even({" + ".join(
+    f"(CAST({c} AS DOUBLE) - mn_{c}) / CASE WHEN mx_{c} - mn_{c} = 0 THEN 1.0 ELSE mx_{c} - mn_{c} END" for c in SIG11)}, 6) AS intent_total
+FROM v JOIN mm ON TRUE JOIN embeddings e ON e.vec_id = c_custkey
+""")
+def composite_signals(spark, sf_dir):
+    """M8 from raw signal objects: texts and signals meet on the key; the
+    vectoriser here looks the stored vector of a candidate up."""
+    b = Bindings(spark, sf_dir)
+    vecs = cut_lineage(b.capvec())
+    signals = _signals_json(b.sig()).join(vecs.select("c_custkey"), "c_custkey", "left_semi")
+    texts = signals.select("c_custkey", F.lit("profile").alias("text"))
+    look_up = lambda df: df.join(vecs.select("c_custkey", F.col("embedding").alias("vec")), "c_custkey", "left")
+    out = composite_from_signals(texts, signals, "c_custkey", "text", "signals", look_up)
+    return out.select("c_custkey", F.col("composite")[0].alias("first_value"), "boundary", F.size("composite").alias("dim"),
+                      round6(F.aggregate(F.slice("composite", F.col("boundary") + 1, 11), F.lit(0.0), lambda a, x: a + x)).alias("intent_total"))
+
+
 # ---------------------------------------------------------------------------
 # A7 / A8 / M10 labels, W3 groups
 # ---------------------------------------------------------------------------

@@ -15,7 +15,8 @@ from ..operators.labels import weak_labels
 from ..operators.metrics import one_row
 from ..operators.rank import round6, top_k
 from ..session import cut_lineage, scratch_path
-from ..streaming.stream import cut_to_batch, read_sink, run_available_now, score_stream, text_stream
+from ..streaming.stream import (compact_sink, cut_to_batch, latest_per_key, read_sink, run_available_now, score_stream,
+                                text_stream, write_static)
 from .bindings import Bindings
 from .queries import MINIMAL_SLICE_SQL
 from .registry import query
@@ -65,9 +66,11 @@ def stream_score(spark, sf_dir):
         F.try_variant_get(v, "$.c_custkey", "bigint").alias("c_custkey"),
         *[F.try_variant_get(v, f"$.{c}", "double").alias(c) for c in SLICE_COLS])
 
+    vectors = write_static(b.capvec(), "c_custkey", scratch_path(spark, "vectors"))
+
     def score(stream):
         s = apply_intent(S.apply_medians(stream, medians), stats)
-        s = s.join(cut_to_batch(b.capvec(), stream, "c_custkey"), "c_custkey", "left")
+        s = s.join(cut_to_batch(spark, vectors, stream, "c_custkey"), "c_custkey", "left")
         s = s.withColumn("cosine_similarity", cosine_to(F.col("embedding"), job))
         s = s.withColumn("score", F.lit(CFG.cosine_weight) * F.col("cosine_similarity")
                          + F.lit(CFG.intent_weight) * F.col("intent_score"))
@@ -75,7 +78,9 @@ def stream_score(spark, sf_dir):
                         round6(F.col("cosine_similarity")).alias("cosine_similarity"),
                         round6(F.col("intent_score")).alias("intent_score"))
 
-    table = score_stream(rows, score, sink, ckpt)
+    score_stream(rows, score, sink, ckpt)
+    compact_sink(spark, sink, "candidate_id")
+    table = latest_per_key(read_sink(spark, sink), "candidate_id")
     return top_k(table, CFG.top_k).select("candidate_id", "rank", "score", "cosine_similarity",
                                           "intent_score")
 
@@ -95,10 +100,11 @@ def _candidate_stream(spark, raw):
 def model_scorer(b, medians, stats, model):
     """Frozen per-row scoring: medians -> scaler -> cosine -> model."""
     job = b.job_vector(0)
+    vectors = write_static(b.capvec(), "c_custkey", scratch_path(b.t.spark, "vectors"))
 
     def score(df):
         s = apply_intent(S.apply_medians(df, medians), stats)
-        s = s.join(cut_to_batch(b.capvec(), df, "c_custkey"), "c_custkey", "left")
+        s = s.join(cut_to_batch(b.t.spark, vectors, df, "c_custkey"), "c_custkey", "left")
         s = s.withColumn("cosine_similarity", cosine_to(F.col("embedding"), job)).drop("embedding")
         s = ltr.score(s, model, "score")
         return s.select("candidate_id", round6(F.col("score")).alias("score"))

@@ -14,11 +14,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import bucket_of, manifest, publish
+
 
 def text_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
     """A stream of text lines from the files that arrive in ``path``."""
@@ -39,9 +42,23 @@ def batch_folder_writer(sink_path: str, fmt: str = "parquet",
     return write
 
 
-def cut_to_batch(static: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """The rows of a static table that a micro-batch asks for."""
-    return static.join(batch.select(key).distinct(), key, "left_semi")
+BUCKETS = 256
+
+
+def write_static(static: DataFrame, key: str, path: str, buckets: int = BUCKETS) -> str:
+    """A static table in folders by a hash of its key, for `cut_to_batch`."""
+    static.withColumn("_bucket", bucket_of(F.col(key), buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+    return path
+
+
+def cut_to_batch(spark: SparkSession, path: str, batch: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of a table of `write_static` that a micro-batch asks for; only
+    the folders of its keys are read (at most ``buckets`` numbers are
+    collected)."""
+    keys = batch.select(F.col(key), bucket_of(F.col(key), buckets).alias("_bucket")).distinct()
+    wanted = [r[0] for r in keys.select("_bucket").distinct().where("_bucket is not null").collect()]
+    found = spark.read.parquet(path).where(F.col("_bucket").isin(wanted))
+    return found.join(keys, ["_bucket", key], "left_semi").drop("_bucket")
 
 
 def run_available_now(stream: DataFrame, sink_path: str, checkpoint_path: str,
@@ -64,8 +81,40 @@ def run_available_now(stream: DataFrame, sink_path: str, checkpoint_path: str,
     return sum(1 for p in progress if p.get("numInputRows", 0) > 0)
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()] if fs.exists(at) else []
+
+
+def _sink_parts(spark: SparkSession, sink_path: str) -> tuple[int, str | None, list[int], list[str]]:
+    """Manifest version, compacted base, batches behind it, and the folders to read."""
+    version, runs = manifest(spark, sink_path)
+    base = runs[0] if runs else None
+    upto = int(base.split("-")[1]) if base else -1
+    batches = sorted(b for n in _folders(spark, sink_path) if n.startswith("batch=") and (b := int(n.removeprefix("batch="))) > upto)
+    return version, base, batches, [*([f"{sink_path}/{base}"] if base else []), *(f"{sink_path}/batch={b}" for b in batches)]
+
+
 def read_sink(spark: SparkSession, sink_path: str) -> DataFrame:
-    return spark.read.parquet(sink_path)
+    """The compacted rows and those of the batches since."""
+    return spark.read.parquet(*_sink_parts(spark, sink_path)[3])
+
+
+def compact_sink(spark: SparkSession, sink_path: str, key: str) -> None:
+    """Merge all batches so far into one base with the newest row of each key,
+    published by a version file; readers see the old or the new state.  Batches
+    go on arriving meanwhile: those behind the base stay as they are."""
+    version, _, batches, folders = _sink_parts(spark, sink_path)
+    if not batches:
+        return
+    rows = spark.read.parquet(*folders)
+    others = [c for c in rows.columns if c != key]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r")).select(key, "_r.*")
+    base = f"base-{batches[-1]}-{uuid.uuid4().hex[:8]}"
+    newest.write.parquet(f"{sink_path}/{base}")
+    publish(spark, sink_path, version, [base])
 
 
 def latest_per_key(table: DataFrame, key: str, batch_col: str = "_batch") -> DataFrame:
