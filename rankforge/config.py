@@ -129,7 +129,8 @@ class RankConfig:
     # learning to rank
     rounds: int = 200
     learning_rate: float = 0.05
-    max_depth: int = 5
+    max_depth: int = 6
+    max_leaves: int = 31
     min_rows_per_leaf: int = 5
     max_bins: int = 255
     column_sample: float = 0.8
@@ -137,7 +138,4 @@ class RankConfig:
     # among the first so many positions; 0: all pairs of a group
     pair_top: int = 30
     seed: int = 42
-    # exact quantiles switch to a distributed selection above this many
-    # values (rows x columns) held by the final percentile task
-    in_memory_quantile_rows: int = 20_000_000
     pii_columns: tuple = field(default=PII_COLUMNS)

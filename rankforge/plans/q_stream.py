@@ -20,7 +20,7 @@ from ..streaming.stream import (compact_sink, cut_to_batch, latest_per_key, read
 from .bindings import Bindings
 from .queries import MINIMAL_SLICE_SQL
 from .registry import query
-from .q_jobs import JOB_ROUNDS
+from .q_jobs import TRIAL_ROUNDS
 from .slice import SLICE_COLS, slice_raw, slice_scored
 
 CFG = RankConfig()
@@ -111,7 +111,7 @@ def model_scorer(b, medians, stats, model):
     return score
 
 
-def fit_slice_model(spark, sf_dir, rounds=JOB_ROUNDS):
+def fit_slice_model(spark, sf_dir, rounds=TRIAL_ROUNDS):
     """Batch side of ST2: medians, scaler and a model fitted on the table."""
     b = Bindings(spark, sf_dir)
     raw = cut_lineage(slice_raw(b))
