@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import RankConfig
+from ..config import SUBMISSION_COLUMNS, RankConfig
 from ..functions import reasons as R
 from ..functions.vectors import blank_to_zero_vector, cosine, cosine_to, literal_vector, norm, zero_vector
 from ..operators import stats as S
@@ -21,6 +21,7 @@ from ..operators.rank import full_rank as rank_all
 from ..operators.rank import round6, top_k as take_top
 from ..operators.vectors import top_matches
 from ..session import cut_lineage
+from ..sources.sinks import contract
 from . import oracle_sql as O
 from .bindings import Bindings
 from .q_prep import CAREER_FULL_SQL
@@ -390,27 +391,25 @@ WITH {SHORT_SQL}
 SELECT count(*) AS n_rows, least({CFG.top_k}, (SELECT count(*) FROM r)) AS expected_rows,
   count(DISTINCT candidate_id) = count(*) AS ids_unique,
   min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*) AS ranks_ok,
-  (SELECT count(*) FROM r) AS pool_rows
+  (SELECT count(*) FROM r) AS pool_rows, count(*) = least({CFG.top_k}, (SELECT count(*) FROM r)) AS rows_ok,
+  TRUE AS columns_ok, TRUE AS groups_ok
 FROM short
 """)
 def contract_check(spark, sf_dir):
-    """Row count = min(k, N), ranks a permutation of 1..n, unique ids."""
-    pool = cut_lineage(scored_r6(spark, sf_dir).select("candidate_id", "score"))  # scored once, read twice
-    s = take_top(pool, CFG.top_k)
-    n_pool = pool.groupBy().agg(F.count(F.lit(1)).alias("pool_rows"))
-    chk = s.groupBy().agg(F.count(F.lit(1)).alias("n_rows"),
-                          (F.countDistinct("candidate_id") == F.count(F.lit(1))).alias("ids_unique"),
-                          ((F.min("rank") == 1) & (F.max("rank") == F.count(F.lit(1)))
-                           & (F.countDistinct("rank") == F.count(F.lit(1)))).alias("ranks_ok"))
-    # two one-row aggregates stacked and folded into one row (no join needed)
-    nul_b, nul_l = F.lit(None).cast("boolean"), F.lit(None).cast("bigint")
-    both = (chk.select("n_rows", "ids_unique", "ranks_ok", nul_l.alias("pool_rows"))
-               .unionByName(n_pool.select(nul_l.alias("n_rows"), nul_b.alias("ids_unique"),
-                                          nul_b.alias("ranks_ok"), "pool_rows"))
-               .agg(F.max("n_rows").alias("n_rows"), F.max("ids_unique").alias("ids_unique"),
-                    F.max("ranks_ok").alias("ranks_ok"), F.max("pool_rows").alias("pool_rows")))
-    return both.select("n_rows", F.least(F.lit(CFG.top_k).cast("bigint"), F.col("pool_rows"))
-                       .alias("expected_rows"), "ids_unique", "ranks_ok", "pool_rows")
+    """The checks of the library on a shortlist: row count = min(k, N),
+    columns, ranks a permutation of 1..n, unique ids, group sizes summing to N."""
+    pool = cut_lineage(scored_r6(spark, sf_dir).select("candidate_id", "score"))  # scored once, read often
+    short = cut_lineage(take_top(pool, CFG.top_k).withColumn("reasoning", F.lit("")).select(*SUBMISSION_COLUMNS))
+    n = pool.count()
+    sizes = make_groups(pool, "candidate_id", 400).groupBy("qid").count()
+    total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    checks = contract(short, CFG.top_k, n, group_sizes_total=total)
+    row = short.agg(F.count(F.lit(1)).alias("n_rows"))
+    facts = {"expected_rows": min(CFG.top_k, n), "pool_rows": n}
+    return row.select("n_rows", *[F.lit(v).cast("bigint").alias(k) for k, v in facts.items()],
+                      F.lit(checks["ids_unique"]).alias("ids_unique"), F.lit(checks["ranks"]).alias("ranks_ok"),
+                      F.lit(checks["rows"]).alias("rows_ok"), F.lit(checks["columns"]).alias("columns_ok"),
+                      F.lit(checks["groups"]).alias("groups_ok"))
 
 
 # ---------------------------------------------------------------------------
