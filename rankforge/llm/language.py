@@ -64,6 +64,18 @@ def _letters() -> np.ndarray:
     return kind
 
 
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    """Code points of category L."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+
+
+def _lowered(text: str) -> str:
+    """Lower case, character by character where offsets would move else."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
+
+
 @dataclass
 class Words:
     """Words of some texts; ``feature`` has one entry a letter, ``first`` and
@@ -77,14 +89,25 @@ class Words:
     counts: np.ndarray
 
 
+def _runs(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff((which > 0).view(np.int8), prepend=np.int8(0))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def words(texts: list[str]) -> Words:
     kind = _letters()
-    low = [t.lower() if len(t.lower()) == len(t) else t for t in texts]  # offsets must not move
+    low = [_lowered(t) for t in texts]
     code = np.frombuffer("\n".join(low).encode("utf-32-le") + b"\n\0\0\0", np.uint32)
     which = kind[code]
-    inside = (which > 0).view(np.int8)
-    edge = np.diff(inside, prepend=np.int8(0))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begin, end = _runs(which)
+    # marks extend a word but make none: a word holds a letter
+    letters = np.concatenate([[0], np.cumsum(_is_letter()[code])])
+    bare_marks = letters[end] == letters[begin]
+    if bare_marks.any():
+        for a, b in zip(begin[bare_marks], end[bare_marks]):
+            which[a:b] = 0
+        begin, end = _runs(which)
+    inside = which > 0
     bare = np.where(which > 0, code, 0).astype(np.uint64)
     at = np.flatnonzero(inside)
     before = np.where(at > 0, bare[at - 1], 0)

@@ -83,3 +83,17 @@ def test_spoken_rejects_only_letterless_rows(spark, model):
         out = lg.spoken(df, m)
         assert out.columns == df.columns
         assert out.count() == sum(any(c.isalpha() for c in r[1] or "") for r in ROWS)
+
+
+def test_marks_make_no_word_and_lowering_keeps_places(spark, model):
+    """A text of combining marks has no letter; one letter that lowers to two
+    characters does not leave the rest of its text in capitals."""
+    rows = [(1, "\u0301"), (2, "\u0301 \u0300\u0308 1"), (3, "e\u0301"), (4, None), (5, "")]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "k int, text string").select("k", lg.label(F.col("text"), model).alias("l")).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 4, 5)] == ["und"] * 4 and got[3].lang_pred != "und"
+    assert got[1].score == got[2].score == 0 and got[1].spans == []
+    w = lg.words(["\u0301 AB \u0300 cd", "\u0130 THE THE"])
+    assert w.counts.tolist() == [2, 3] and w.start.tolist() == [2, 7, 0, 2, 6] and w.size.tolist() == [2, 2, 1, 3, 3]
+    plain = lg.words(["i the the"])
+    assert w.feature[w.first[3]:w.first[3] + 3].tolist() == plain.feature[plain.first[1]:plain.first[1] + 3].tolist()
+    assert sorted(r.text for r in lg.spoken(spark.createDataFrame(rows, "k int, text string"), model).collect()) == ["e\u0301"]
