@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, mix64, row_mark, sliced, stored, text_or_empty, without_rows, word_hashes
+from .common import arrow, discard, mix64, row_mark, sliced, stored, text_or_empty, without_rows, word_hashes
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -190,7 +190,7 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFr
     until one class is left.
     """
     links, cls, turn = None, None, 0
-    rest = buckets
+    rest, tested, used = buckets, None, []
     while True:
         own = rest if cls is None else rest.join(cls, "node", "left")
         own = own.withColumn("cls", F.col("node") if cls is None else F.coalesce("cls", "node"))
@@ -198,6 +198,8 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFr
                  .agg(F.max(F.struct("k", "cls")).alias("top"), F.count("*").alias("classes"))
                  .filter("classes > 1").select("band", F.col("top.cls").alias("top")))
         own = stored(own.join(mixed, "band"), "buckets")
+        for old in used:  # the rounds before are not read again
+            discard(old)
         if own.isEmpty():
             return links
         early = turn < len(EARLY)
@@ -210,12 +212,17 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFr
                .filter((F.col("cls") != F.col("their")) & _close_sizes("n", "m", similar)
                        & ~_far_sketches("bits", "their_bits", similar, BANDS * ROWS))
                .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+        if tested is not None:  # a pair refuted in one bucket is not asked for again in another
+            met = met.join(tested, ["a", "b"], "left_anti")
+        met = stored(met, "met")
+        tested = met if tested is None else tested.union(met)
         new = stored(_verified(met, sets, similar), "links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             cls = components(links)
         rest = (own.select("band", "node", "n", "bits")
                 .join(leaders.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti"))
+        used = [own, leaders]
         turn += 1
 
 
@@ -247,9 +254,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
     classed = stored(classed.select("words", "cls", "first", "size"), "classed")
     classes = classed.groupBy("cls").agg(F.min("first").alias("best"), F.sum("size").alias("class_size"))
     named = classed.join(classes, "cls").select("words", "best", "class_size")
+    # rows without words have no class to look up: they stay out of the join, where they would be one key
+    found = rows.filter("words is not null").select("key", "mark", "row", "words").join(named, "words").drop("words")
+    found = found.unionByName(rows.filter("words is null").select("key", "mark", "row"), allowMissingColumns=True)
     alone = F.col("best").isNull()
-    return (rows.select("key", "mark", "row", "words").join(named, "words", "left")
-            .select(F.col("key").alias(key),
+    return (found.select(F.col("key").alias(key),
                     F.when(alone, F.col("key")).otherwise(F.col("best.key")).alias("class_id"),
                     F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
                     (alone | (F.col("row") == F.col("best.row"))).alias("kept"), "mark"))
