@@ -38,8 +38,10 @@ from .common import map_arrow, mix64, powers, stored, text_or_empty
 LONGEST = 4  #: words of the longest phrase
 FILTER_BITS = 26  #: log2 of the Bloom filter's bits: 8 MB, whatever the corpus
 PROBES = 4
-SEGMENT = 1 << 21  #: bytes hashed at a time
-CHUNK = 1 << 21  #: occurrences counted at a time
+SEGMENT = 1 << 19  #: bytes hashed at a time
+TAKEN = 1 << 20  #: bytes of texts read at a time
+CHUNK = 1 << 19  #: occurrences counted at a time
+HELD = 1 << 18  #: rows of counts that a task holds
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 _BREAK = np.zeros(256, bool)
@@ -97,15 +99,22 @@ class Filter:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
+    @staticmethod
+    def _step(names: np.ndarray) -> np.ndarray:
+        return mix64(names ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+
     @staticmethod
     def places(names: np.ndarray) -> np.ndarray:
-        step = mix64(names ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+        step = Filter._step(names)
         return np.stack([(names + np.uint64(i) * step) >> np.uint64(64 - FILTER_BITS) for i in range(PROBES)])
 
     def has(self, names: np.ndarray) -> np.ndarray:
-        out = np.ones(len(names), bool)
-        for p in self.places(names):
-            out &= (self.bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        out = np.zeros(len(names), bool)
+        step, left = self._step(names), np.arange(len(names))
+        for i in range(PROBES):  # most unknown names fail the first probe
+            p = (names[left] + np.uint64(i) * step[left]) >> np.uint64(64 - FILTER_BITS)
+            left = left[(self.bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+        out[left] = True
         return out
 
 
@@ -117,86 +126,166 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     for i, lang in enumerate(langs):
         by.setdefault(lang, []).append(i)
     for lang, rows in by.items():
-        yield lang, b"\n".join(texts.take(pa.array(rows)).to_pylist())
-
-
-def occurrences(w: np.ndarray, piece: np.ndarray, seed: np.uint64, known: Filter | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        part, size = [], 0
+        for i in rows:
+            raw = texts[i].as_py()
+            part.append(raw)
+            size += len(raw) + 1
+            if size > TAKEN:
+                yield lang, b"\n".join(part)
+                part, size = [], 0
+        if part:
+            yield lang, b"\n".join(part)
+
+
+def occurrences(w: np.ndarray, piece: np.ndarray, seed: np.uint64, known: Filter | None,
+                before: Filter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For lengths 1, 2, ..: where a proposal or a border phrase of that length
-    starts, and the names of the phrases there."""
+    starts, the names of the phrases there, and which of them the smaller
+    filter ``before`` would not have let through."""
     at, name = np.arange(len(w)), mix64(w ^ seed)
-    yield at, name
+    new = np.full(len(w), before is None)
+    yield at, name, new
     for k in range(2, LONGEST + 1):
         if known is None:
             return
-        good = np.zeros(len(w) + 1, bool)
+        good, old = np.zeros(len(w) + 1, bool), np.zeros(len(w) + 1, bool)
         good[at] = known.has(name)
+        if before is not None:
+            seen = np.flatnonzero(good[at] & ~new)
+            old[at[seen]] = before.has(name[seen])
         # the first and the last part are known, and both lie in one piece
         last = at[good[at] & good[at + 1]]
         last = last[last + k - 1 < len(w)]
-        keep = piece[last] == piece[last + k - 1]
-        name = _join(name[np.searchsorted(at, last[keep])], w[last[keep] + k - 1])
-        at = last[keep]
-        yield at, name
+        last = last[piece[last] == piece[last + k - 1]]
+        name = _join(name[np.searchsorted(at, last)], w[last + k - 1])
+        at = last
+        new = ~(old[at] & old[at + 1])
+        yield at, name, new
 
 
 _ROW = "lang string, " + ", ".join(f"{c} long" for c in WORDS) + ", n long"
 
 
-def _tally(lang: str, w: np.ndarray, at: np.ndarray, name: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(at), CHUNK):
-        _, first, n = np.unique(name[i:i + CHUNK], return_index=True, return_counts=True)
-        spot = at[i:i + CHUNK][first]
-        cols = [w[spot + j].view(np.int64) if j < k else np.zeros(len(spot), np.int64) for j in range(LONGEST)]
-        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(spot), np.int32))), *map(pa.array, cols), pa.array(n)],
-                                         ["lang", *WORDS, "n"])
+def _added(parts: list[np.ndarray]) -> np.ndarray:
+    """Tables of name, words and count (rows of a 6 x m array) added up by name, in the order of names."""
+    table = np.concatenate(parts, axis=1)
+    table = table[:, np.argsort(table[0], kind="stable")]
+    first = np.flatnonzero(np.diff(table[0], prepend=table[:1, 0] + np.uint64(1)) != 0) if table.shape[1] else np.zeros(0, np.int64)
+    out = table[:, first]
+    if len(first):
+        out[5] = np.add.reduceat(table[5], first)
+    return out
+
+
+def _table(w: np.ndarray, at: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
+    """Distinct phrases of length k among their places, with counts."""
+    names, first, n = np.unique(name, return_index=True, return_counts=True)
+    spot = at[first]
+    words = [w[spot + j] if j < k else np.zeros(len(spot), np.uint64) for j in range(LONGEST)]
+    return np.stack([names, *words, n.astype(np.uint64)])
+
+
+def _blobs(lang: str, table: np.ndarray, bits: int) -> pa.RecordBatch:
+    """One row a bucket of names: words and counts, column after column."""
+    cut = np.searchsorted(table[0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(full), pa.string()), pa.array(full.astype(np.int32)),
+         pa.array([table[1:, cut[b]:cut[b + 1]].tobytes() for b in full.tolist()], pa.binary())], ["lang", "bucket", "rows"])
 
 
-def _counter(lengths: set[int], known, before):
-    """Counts by language and phrase of the lengths asked for; phrases that an
-    earlier pass counted (those that ``before`` let through) are left out.
-    A row without words holds the number of words."""
+def _counter(lengths: set[int], known, before, bits: int):
+    """Counts by language and phrase of the lengths asked for, in packed
+    tables; phrases that an earlier pass counted (those that ``before`` let
+    through) are left out.  The phrase without words holds the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = (None if x is None else Filter(x.value) for x in (known, before))
+        held: dict[str, list[np.ndarray]] = {}
+        size: dict[str, int] = {}
         for batch in batches:
             for lang, raw in _batches(batch):
                 w, piece, _, _ = words(raw)
                 if not len(w):
                     continue
-                seed = _seed(lang)
-                counted = dict(enumerate((a for a, _ in occurrences(w, piece, seed, old)), 1)) if old else {}
-                for k, (at, name) in enumerate(occurrences(w, piece, seed, now), 1):
+                seed, parts = _seed(lang), []
+                for k, (at, name, new) in enumerate(occurrences(w, piece, seed, now, old), 1):
                     if k not in lengths:
                         continue
-                    if k in counted:
-                        new = ~np.isin(at, counted[k], assume_unique=True)
-                        at, name = at[new], name[new]
-                    yield from _tally(lang, w, at, name, k)
+                    at, name = at[new], name[new]
+                    parts += [_table(w, at[i:i + CHUNK], name[i:i + CHUNK], k) for i in range(0, len(at), CHUNK)]
                 if 1 in lengths:
-                    zero = [pa.array([0], pa.int64())] * LONGEST
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), *zero, pa.array([len(w)], pa.int64())], ["lang", *WORDS, "n"])
+                    zero = np.zeros(1, np.uint64)
+                    parts.append(np.stack([mix64(zero ^ seed), zero, zero, zero, zero, np.array([len(w)], np.uint64)]))
+                held.setdefault(lang, []).extend(parts)
+                size[lang] = size.get(lang, 0) + sum(p.shape[1] for p in parts)
+            while sum(size.values()) > HELD:
+                most = max(size, key=size.get)
+                del size[most]
+                yield _blobs(most, _added(held.pop(most)), bits)
+        for lang, parts in held.items():
+            if parts:
+                yield _blobs(lang, _added(parts), bits)
 
     return count
 
 
+def _summed(least: int):
+    """Adds the packed tables of a bucket (rows come sorted by bucket)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, size, most = None, [], 0, HELD
+
+        def total() -> pa.RecordBatch:
+            t = _added(parts)
+            t = t[:, (t[5] >= least) | (t[1] == 0)]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * t.shape[1], pa.string()), *(pa.array(c.view(np.int64)) for c in np.ascontiguousarray(t[1:]))],
+                                              ["lang", *WORDS, "n"])
+
+        for batch in batches:
+            for lang, bucket, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (lang, bucket) != key:
+                    if parts:
+                        yield total()
+                    key, parts, size, most = (lang, bucket), [], 0, HELD
+                cols = np.frombuffer(rows, np.uint64).reshape(5, -1)
+                parts.append(np.vstack([_named(cols[:4], _seed(lang))[None], cols]))
+                size += cols.shape[1]
+                if size > most:  # twice the distinct rows at most
+                    parts = [_added(parts)]
+                    size = parts[0].shape[1]
+                    most = max(HELD, 2 * size)
+        if parts:
+            yield total()
+
+    return add
+
+
 def _counted(docs: DataFrame, least: int, lengths: set[int], known=None, before=None) -> DataFrame:
-    """Exact counts of at least ``least``, and the number of words of each language."""
-    rows = map_arrow(docs, _counter(lengths, known, before), _ROW)
-    total = rows.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
-    return total.filter((F.col("n") >= least) | (F.col("w1") == 0))
+    """Exact counts of at least ``least``, and the number of words of each
+    language.  Tasks add their counts up before the shuffle, which moves one
+    packed table a bucket and not a row a phrase."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = parts.bit_length()  # one to two buckets a partition and language
+    packed = map_arrow(docs, _counter(lengths, known, before, bits), "lang string, bucket int, rows binary")
+    return packed.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_summed(least), _ROW)
+
+
+def _named(cols: np.ndarray, seed: np.uint64 | np.ndarray) -> np.ndarray:
+    """Names of phrases from their words."""
+    name = mix64(cols[0] ^ seed)
+    for c in cols[1:]:
+        name = np.where(c != 0, _join(name, c), name)
+    return name
 
 
 def _names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Names of the phrases (rows of lang and words) and their lengths."""
-    lang, cols = batch.column("lang"), [batch.column(c).to_numpy().view(np.uint64) for c in WORDS]
-    kinds = lang.dictionary_encode()
+    cols = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in WORDS])
+    kinds = batch.column("lang").dictionary_encode()
     seeds = np.array([_seed(x) for x in kinds.dictionary.to_pylist()], np.uint64)
-    name, size = mix64(cols[0] ^ seeds[kinds.indices.to_numpy()]), np.ones(len(lang), np.int64)
-    for c in cols[1:]:
-        more = c != 0
-        name = np.where(more, _join(name, c), name)
-        size += more
-    return name, size
+    return _named(cols, seeds[kinds.indices.to_numpy()]), (cols != 0).sum(axis=0)
 
 
 def _filter_words(known):
