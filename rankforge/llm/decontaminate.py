@@ -42,6 +42,7 @@ from .common import map_arrow, powers, row_mark, sliced, text_or_empty, without_
 
 BITS, RANK, HALF = 14, 64, 16
 FEATURES = 1 << BITS
+HELD = 1 << 14  # half passages whose sums are spread to features at a time
 LEAST_WORDS = 8
 
 
@@ -100,11 +101,16 @@ def pair_up(first: np.ndarray, two: np.ndarray, half: np.ndarray) -> np.ndarray:
 
 
 def half_sums(feature: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sum of the table rows of every half passage; works in small slices
-    that stay in cache."""
-    out = np.empty((len(feature), table.shape[1]), np.float32)
-    for a in range(0, len(feature), 512):
-        out[a:a + 512] = np.take(table, feature[a:a + 512], axis=0, mode="clip").sum(axis=1)
+    """Sum of the table rows of every row of ``feature``, one column after the
+    other, in slices that stay in cache."""
+    out = np.empty((len(feature), table.shape[1]), table.dtype)
+    taken = np.empty((min(len(feature), 1024), table.shape[1]), table.dtype)
+    columns = np.ascontiguousarray(feature.T)
+    for a in range(0, len(feature), 1024):
+        total = out[a:a + 1024]
+        np.take(table, columns[0, a:a + 1024], axis=0, out=total, mode="clip")
+        for column in columns[1:]:
+            total += np.take(table, column[a:a + 1024], axis=0, out=taken[:len(total)], mode="clip")
     return out
 
 
@@ -120,9 +126,10 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES + 1, np.int64)
         for b in _each(batches):
-            key = np.sort(((np.arange(len(b.feature)) * (2 * FEATURES))[:, None] + b.feature).ravel())
-            key = key[np.flatnonzero(np.diff(key, prepend=-1))] % (2 * FEATURES)
-            total += np.bincount(key[key < FEATURES], minlength=FEATURES + 1)
+            held = np.sort(b.feature.astype(np.uint16), axis=1)
+            new = np.ones(held.shape, bool)
+            new[:, 1:] = held[:, 1:] != held[:, :-1]
+            total += np.bincount(held[new & (held < FEATURES)], minlength=FEATURES + 1)
             total[FEATURES] += len(b.feature)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["f", "n"])
@@ -133,6 +140,33 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df[:FEATURES], int(df[FEATURES])
 
 
+def spread(feature: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the half passages in order, and the sum of the ``rows``
+    of the half passages that hold each, as often as they hold it.
+
+    The half passages of a feature are laid out in groups of HALF, padded
+    with a zero row, so they are added up like words are in `half_sums`; so
+    are the sums of the groups, until each feature has one.
+    """
+    flat = feature.astype(np.uint16).ravel()
+    count = np.bincount(flat, minlength=FEATURES + 1)[:FEATURES]
+    at = np.argsort(flat, kind="stable")[:count.sum()] // HALF  # padding comes last
+    found = np.flatnonzero(count)
+    count, out = count[found], np.empty((len(found), rows.shape[1]), rows.dtype)
+    left = np.arange(len(found))  # features whose sum is not known yet
+    while len(left):
+        groups = -(-count // HALF)
+        table = np.full(int(groups.sum()) * HALF, len(rows))
+        pad = np.cumsum(groups * HALF - count) - (groups * HALF - count)
+        table[np.arange(len(at)) + np.repeat(pad, count)] = at
+        rows = half_sums(table.reshape(-1, HALF), np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)]))
+        one = groups == 1
+        out[left[one]] = rows[(np.cumsum(groups) - 1)[one]]
+        at = np.flatnonzero(np.repeat(~one, groups))
+        left, count = left[~one], groups[~one]
+    return found, out
+
+
 def gram_times(texts: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis) over all passages, A = counts x weight; features x rank."""
     rank = basis.shape[1]
@@ -141,7 +175,13 @@ def gram_times(texts: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.nd
         np.vstack([basis * weight[:, None], np.zeros((1, rank))]).astype(np.float32))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = shared.value, np.zeros((rank, FEATURES + 1))
+        table, total, held = shared.value, np.zeros((FEATURES, rank)), []
+
+        def add() -> None:
+            found, sums = spread(np.concatenate([f for f, _ in held]), np.concatenate([x for _, x in held]))
+            total[found] += sums
+            held.clear()
+
         for b in _each(batches):
             if not len(b.feature):
                 continue
@@ -150,12 +190,14 @@ def gram_times(texts: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.nd
             back = np.zeros((len(b.feature), rank), np.float32)  # each half passage gets those of its passages
             back[first] += z
             back[first[two] + 1] += z[two]
-            flat = b.feature.ravel()
-            for j in range(rank):
-                total[j] += np.bincount(flat, weights=np.repeat(back[:, j], HALF), minlength=FEATURES + 1)
-        at = np.flatnonzero(total[:, :FEATURES].any(axis=0))
+            held.append((b.feature, back))
+            if sum(len(f) for f, _ in held) >= HELD:
+                add()
+        if held:
+            add()
+        at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.int32()), *(pa.array(total[j, at], pa.float64()) for j in range(rank))], names=["f", *names])
+            [pa.array(at, pa.int32()), *(pa.array(total[at, j], pa.float64()) for j in range(rank))], names=["f", *names])
 
     got = (map_arrow(texts, multiply, "f int, " + ", ".join(f"{y} double" for y in names)).groupBy("f")
            .agg(*[F.sum(y).alias(y) for y in names]).toPandas())  # FEATURES rows at most
@@ -204,11 +246,9 @@ class Sequence:
     def common(self, words: list[int]) -> int:
         full = (1 << self.size) - 1
         v = full
-        for w in words:
-            m = self.mask.get(w)
-            if m:
-                u = v & m
-                v = ((v + u) | (v - u)) & full
+        for m in filter(None, map(self.mask.get, words)):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
         return self.size - v.bit_count()
 
 
@@ -322,7 +362,10 @@ def candidates(b: Blocks, items: Items, table: np.ndarray) -> tuple[np.ndarray,
         at = p[a:a + 2048]
         mine, theirs = passage_words(b, first[at], two[at]), items.words[i[a:a + 2048]]
         real = theirs != 0
-        shared = ((theirs[:, :, None] == mine[:, None, :]).any(axis=2) & real).sum(axis=1)
+        shared = np.zeros(real.shape, bool)
+        for word in mine.T:
+            shared |= theirs == word[:, None]
+        shared = (shared & real).sum(axis=1)
         enough[a:a + 2048] = shared >= items.config.shared * real.sum(axis=1)
     return first[p[enough]], items.of[i[enough]], near[enough]
 

@@ -1,10 +1,11 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from rankforge.llm import decontaminate as dc
-from rankforge.llm.common import table
+from rankforge.llm.common import table, word_hashes
 
 from .edges import ROWS, documents
 
@@ -133,3 +134,38 @@ def test_edges(spark):
     assert dc.matches(documents(spark, []), bench).count() == 0
     assert dc.matches(docs, bench.limit(0)).count() == 0
     assert dc.decontaminate(docs, bench.limit(0)).count() == len(ROWS)
+
+
+def test_rows_are_spread_to_the_features_of_their_half_passages():
+    rng = np.random.default_rng(3)
+    feature = np.minimum(rng.geometric(0.001, (900, dc.HALF)) - 1, dc.FEATURES)
+    feature[rng.random(feature.shape) < 0.2] = 5  # in some 2,900 places, so over three levels of groups
+    feature[rng.random(feature.shape) < 0.1] = dc.FEATURES
+    rows = rng.standard_normal((900, 3)).astype(np.float32)
+    want = np.zeros((dc.FEATURES + 1, 3))
+    np.add.at(want, feature.ravel(), np.repeat(rows, dc.HALF, axis=0))
+    found, sums = dc.spread(feature, rows)
+    assert found.tolist() == sorted(set(feature.ravel().tolist()) - {dc.FEATURES})
+    assert np.allclose(sums, want[found], atol=1e-3)
+    found, sums = dc.spread(np.full((2, dc.HALF), dc.FEATURES), rows[:2])  # padding alone
+    assert not len(found) and sums.shape == (0, 3)
+
+
+def test_words_are_hashed_in_little_memory():
+    texts = ["some words of a text " * 5000] * 10  # 1 MB
+    word_hashes(texts[:1])
+    tracemalloc.start()
+    hashes, counts = word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [25000] * 10 and len(set(hashes.tolist())) == 5
+    assert peak < 20e6
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    long = "x" * 70_000
+    words = ["a", "B", "é", long, "z" * 65_536, "b"]
+    hashes, counts = word_hashes(["", "!", " ".join(words), *words])
+    assert counts.tolist() == [0, 0, 6, 1, 1, 1, 1, 1, 1]
+    assert hashes[:6].tolist() == hashes[6:].tolist()
+    assert hashes[1] == hashes[5] and len(set(hashes.tolist())) == 5
