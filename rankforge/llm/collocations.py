@@ -38,7 +38,7 @@ from .common import map_arrow, mix64, powers, stored, text_or_empty
 LONGEST = 4  #: words of the longest phrase
 FILTER_BITS = 26  #: log2 of the Bloom filter's bits: 8 MB, whatever the corpus
 PROBES = 4
-SEGMENT = 1 << 19  #: bytes hashed at a time
+SEGMENT = 1 << 16  #: bytes hashed at a time
 TAKEN = 1 << 20  #: bytes of texts read at a time
 CHUNK = 1 << 19  #: occurrences counted at a time
 HELD = 1 << 18  #: rows of counts that a task holds
@@ -168,13 +168,21 @@ _ROW = "lang string, " + ", ".join(f"{c} long" for c in WORDS) + ", n long"
 
 
 def _added(parts: list[np.ndarray]) -> np.ndarray:
-    """Tables of name, words and count (rows of a 6 x m array) added up by name, in the order of names."""
-    table = np.concatenate(parts, axis=1)
-    table = table[:, np.argsort(table[0], kind="stable")]
-    first = np.flatnonzero(np.diff(table[0], prepend=table[:1, 0] + np.uint64(1)) != 0) if table.shape[1] else np.zeros(0, np.int64)
-    out = table[:, first]
+    """Tables of name, words and count (rows of a 6 x m array) added up by name, in the order of names.
+
+    One row of the tables is brought together at a time: beside the tables
+    and the result, two rows are held and not two more tables."""
+    name = np.concatenate([p[0] for p in parts])
+    order = np.argsort(name, kind="stable")
+    name = name[order]
+    first = np.flatnonzero(np.diff(name, prepend=name[:1] + np.uint64(1)) != 0) if len(name) else np.zeros(0, np.int64)
+    out = np.empty((LONGEST + 2, len(first)), np.uint64)
+    out[0] = name[first]
+    del name
+    for c in range(1, LONGEST + 1):
+        out[c] = np.concatenate([p[c] for p in parts])[order[first]]
     if len(first):
-        out[5] = np.add.reduceat(table[5], first)
+        out[-1] = np.add.reduceat(np.concatenate([p[-1] for p in parts])[order], first)
     return out
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -115,3 +116,32 @@ def test_whole_table_of_the_smallest_size(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     got = {tuple(r) for r in collocations.collocations(docs).collect()}
     assert got == brute([(r.text, r.lang) for r in docs.collect()], 30, 2000)
+
+
+def test_tables_are_added_up_in_little_memory():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 1 << 62, (6, 50_000)).astype(np.uint64) for _ in range(4)]
+    parts[3][:5] = parts[0][:5]
+    size = sum(p.nbytes for p in parts)
+    tracemalloc.start()
+    got = collocations._added(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {}
+    for row in np.concatenate(parts, axis=1).T.tolist():
+        want[row[0]] = [*row[:5], want.get(row[0], [0] * 6)[5] + row[5]]
+    assert got.T.tolist() == [want[x] for x in sorted(want)]
+    assert peak < 1.6 * size
+    assert collocations._added([np.zeros((6, 0), np.uint64)]).shape == (6, 0)
+
+
+def test_words_are_hashed_in_little_memory():
+    raw = b"some words of a text. " * 50_000  # 1.1 MB
+    collocations.words(raw[:100])
+    tracemalloc.start()
+    w, piece, start, end = collocations.words(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w) == 250_000 and len(set(w.tolist())) == 5 and piece[-1] == 49_999
+    assert raw[start[-1]:end[-1]] == b"text"
+    assert peak < 22e6
