@@ -277,7 +277,7 @@ def _counted(docs: DataFrame, least: int, lengths: set[int], known=None, before=
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = parts.bit_length()  # one to two buckets a partition and language
     packed = map_arrow(docs, _counter(lengths, known, before, bits), "lang string, bucket int, rows binary")
-    return packed.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_summed(least), _ROW)
+    return map_arrow(packed.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket"), _summed(least), _ROW)
 
 
 def _named(cols: np.ndarray, seed: np.uint64 | np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from rankforge.llm import collocations
-from rankforge.llm.common import table
+from rankforge.llm.common import gives_back, table
 
 from .edges import CLASH, SCHEMA, documents
 
@@ -145,3 +145,23 @@ def test_words_are_hashed_in_little_memory():
     assert len(w) == 250_000 and len(set(w.tolist())) == 5 and piece[-1] == 49_999
     assert raw[start[-1]:end[-1]] == b"text"
     assert peak < 22e6
+
+
+def test_a_task_gives_its_memory_back():
+    def resident():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    kept = []
+
+    def task(batches):
+        held = [np.ones(8000, np.uint8) for _ in range(25_000)]  # 200 MB
+        kept.append(held[-1])  # lies above the others in the heap
+        yield from batches
+
+    before = resident()
+    assert list(gives_back(task)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 60
+    before = resident()
+    assert list(task(iter([1, 2]))) == [1, 2]
+    assert resident() - before > 100  # what the wrapper is for
