@@ -1,0 +1,52 @@
+"""Steps that read every row compile: code over 64 KB would run interpreted."""
+import logging
+
+from pyspark.sql import functions as F
+
+from rankforge.operators import stats as S
+from rankforge.operators.career import role_months, trajectory_by_role
+
+
+def compiles(df) -> bool:
+    """Whether the JVM compiles every generated stage of ``df``."""
+    jvm = df.sparkSession._jvm
+    package = getattr(jvm.org.apache.spark.sql.execution.debug, "package$")
+    stages = getattr(package, "MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    logging.getLogger(__name__).info("largest methods: %s", sizes)
+    return bool(sizes) and min(sizes) > 0
+
+
+ROLES = [("a", "2020-01-05", "2021-03", None, False), ("a", "May 2019", "present", None, False), ("b", "2018-02", "x", 7.0, False),
+         ("b", "never", "2020", None, True), ("c", None, None, None, None), ("c", "3/2017", "1.2.2018", None, False)]
+
+
+def roles(spark):
+    return spark.createDataFrame(ROLES, "k string, start_date string, end_date string, duration_months double, is_current boolean")
+
+
+def test_trajectories_compile(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert compiles(trajectory_by_role(roles(spark), "k"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_trajectories_sum_the_months_of_their_roles(spark):
+    df = roles(spark)
+    months = role_months(*[F.col(c) for c in ("start_date", "end_date", "duration_months", "is_current")])
+    want = {r["k"]: (r["t"] or 0.0, r["n"]) for r in df.select("k", months.alias("m")).groupBy("k").agg(
+        F.sum("m").alias("t"), F.count("m").alias("n")).collect()}
+    got = {r["k"]: (r["total_duration_months"], r["num_transitions"]) for r in trajectory_by_role(df, "k").collect()}
+    assert got == want and got["b"] == (7.0, 1) and got["c"] == (11.0, 1)
+
+
+def test_quantiles_of_many_columns(spark):
+    df = spark.range(5000).select(*[((F.col("id") * (i + 3)) % 1009).cast("double").alias(f"c{i}") for i in range(40)])
+    df = df.withColumn("c7", F.when(F.col("c7") > 100, F.col("c7"))).withColumn("c9", F.lit(float("nan")))
+    cols = [f"c{i}" for i in range(40)]
+    got = S.exact_quantiles(df, cols, [0.25, 0.5])
+    want = df.agg(*[F.expr(f"percentile(nanvl({c}, null), array(0.25, 0.5))").alias(c) for c in cols]).first()
+    for c in cols:
+        assert got[c] == ([None, None] if want[c] is None else want[c]), c
