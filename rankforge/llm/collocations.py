@@ -155,11 +155,11 @@ def occurrences(w: np.ndarray, piece: np.ndarray, seed: np.uint64, known: Filter
             seen = np.flatnonzero(good[at] & ~new)
             old[at[seen]] = before.has(name[seen])
         # the first and the last part are known, and both lie in one piece
-        last = at[good[at] & good[at + 1]]
-        last = last[last + k - 1 < len(w)]
-        last = last[piece[last] == piece[last + k - 1]]
-        name = _join(name[np.searchsorted(at, last)], w[last + k - 1])
-        at = last
+        spot = np.flatnonzero(good[at] & good[at + 1])
+        spot = spot[: np.searchsorted(at[spot], len(w) - k + 1)]
+        spot = spot[piece[at[spot]] == piece[at[spot] + k - 1]]
+        at = at[spot]
+        name = _join(name[spot], w[at + k - 1])
         new = ~(old[at] & old[at + 1])
         yield at, name, new
 
@@ -173,7 +173,7 @@ def _added(parts: list[np.ndarray]) -> np.ndarray:
     One row of the tables is brought together at a time: beside the tables
     and the result, two rows are held and not two more tables."""
     name = np.concatenate([p[0] for p in parts])
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)  # equal names have the same words, so their order is free
     name = name[order]
     first = np.flatnonzero(np.diff(name, prepend=name[:1] + np.uint64(1)) != 0) if len(name) else np.zeros(0, np.int64)
     out = np.empty((LONGEST + 2, len(first)), np.uint64)
@@ -188,10 +188,15 @@ def _added(parts: list[np.ndarray]) -> np.ndarray:
 
 def _table(w: np.ndarray, at: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
     """Distinct phrases of length k among their places, with counts."""
-    names, first, n = np.unique(name, return_index=True, return_counts=True)
-    spot = at[first]
-    words = [w[spot + j] if j < k else np.zeros(len(spot), np.uint64) for j in range(LONGEST)]
-    return np.stack([names, *words, n.astype(np.uint64)])
+    order = np.argsort(name)
+    name = name[order]
+    first = np.flatnonzero(np.diff(name, prepend=name[:1] + np.uint64(1)) != 0)
+    out = np.zeros((LONGEST + 2, len(first)), np.uint64)
+    out[0], out[-1] = name[first], np.diff(first, append=len(name))
+    spot = at[order[first]]
+    for j in range(k):
+        out[1 + j] = w[spot + j]
+    return out
 
 
 def _blobs(lang: str, table: np.ndarray, bits: int) -> pa.RecordBatch:

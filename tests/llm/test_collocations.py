@@ -165,3 +165,27 @@ def test_a_task_gives_its_memory_back():
     before = resident()
     assert list(task(iter([1, 2]))) == [1, 2]
     assert resident() - before > 100  # what the wrapper is for
+
+
+def test_places_and_tables_of_phrases():
+    """Every border phrase of a piece once, and tables in the order of names."""
+    from collections import Counter
+
+    import numpy as np
+
+    from rankforge.llm import collocations as C
+
+    raw = b"a b a b. a b c d e\na a a a a; e"
+    w, piece, _, _ = C.words(raw)
+    seed = C._seed("en")
+    every = C.Filter(np.full(1 << (C.FILTER_BITS - 6), ~np.uint64(0), np.uint64))
+    texts = [p.split() for p in "a b a b|a b c d e|a a a a a|e".split("|")]
+    hashes = {x: int(C.words(x.encode())[0][0]) for x in "abcde"}
+    for k, (at, name, new) in enumerate(C.occurrences(w, piece, seed, every), 1):
+        want = Counter(tuple(hashes[x] for x in t[i:i + k]) for t in texts for i in range(len(t) - k + 1))
+        table = C._table(w, at, name, k)
+        assert new.all() and (np.diff(table[0].astype(object)) > 0).all()
+        assert {tuple(map(int, c[1:1 + k])): int(c[-1]) for c in table.T} == want
+        assert not table[1 + k:-1].any()
+        twice = C._added([table, table])
+        assert (twice[:-1] == table[:-1]).all() and (twice[-1] == 2 * table[-1]).all()
