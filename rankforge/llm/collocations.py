@@ -5,8 +5,11 @@ pass then counts, over all documents, the proposals together with their
 negative border: every word, and every longer phrase whose first and last
 part (all words but one) are proposed.  A border phrase that turns out
 frequent is a failure of the sample: it joins the proposals and a further
-pass counts the border that it opens, until no failure is left.  Counts are
-exact whatever the sample was; a poor sample only costs passes.
+pass counts the border that it opens, until no failure is left.  Where the
+failures are few (`FEW`), that pass goes on from the border: it also counts
+longer phrases whose parts it counts itself, frequent or not, so that one pass
+repairs all failures.  Counts are exact whatever the sample was; a poor sample
+only costs passes.
 
 Tasks know the proposals by a Bloom filter of fixed size (`FILTER_BITS`), not
 as a list, since frequent phrases grow with the corpus.  A false positive
@@ -42,6 +45,7 @@ SEGMENT = 1 << 16  #: bytes hashed at a time
 TAKEN = 1 << 20  #: bytes of texts read at a time
 CHUNK = 1 << 19  #: occurrences counted at a time
 HELD = 1 << 18  #: rows of counts that a task holds
+FEW = 0.25  #: failures' bits for each bit of the proposals, up to which one pass repairs them all
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 _BREAK = np.zeros(256, bool)
@@ -139,10 +143,11 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
 
 
 def occurrences(w: np.ndarray, piece: np.ndarray, seed: np.uint64, known: Filter | None,
-                before: Filter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                before: Filter | None = None, onward: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For lengths 1, 2, ..: where a proposal or a border phrase of that length
     starts, the names of the phrases there, and which of them the smaller
-    filter ``before`` would not have let through."""
+    filter ``before`` would not have let through; ``onward`` takes these for
+    known, since nobody has counted them yet."""
     at, name = np.arange(len(w)), mix64(w ^ seed)
     new = np.full(len(w), before is None)
     yield at, name, new
@@ -154,6 +159,8 @@ def occurrences(w: np.ndarray, piece: np.ndarray, seed: np.uint64, known: Filter
         if before is not None:
             seen = np.flatnonzero(good[at] & ~new)
             old[at[seen]] = before.has(name[seen])
+            if onward:
+                good[at[new]] = True
         # the first and the last part are known, and both lie in one piece
         spot = np.flatnonzero(good[at] & good[at + 1])
         spot = spot[: np.searchsorted(at[spot], len(w) - k + 1)]
@@ -208,7 +215,7 @@ def _blobs(lang: str, table: np.ndarray, bits: int) -> pa.RecordBatch:
          pa.array([table[1:, cut[b]:cut[b + 1]].tobytes() for b in full.tolist()], pa.binary())], ["lang", "bucket", "rows"])
 
 
-def _counter(lengths: set[int], known, before, bits: int):
+def _counter(lengths: set[int], known, before, onward: bool, bits: int):
     """Counts by language and phrase of the lengths asked for, in packed
     tables; phrases that an earlier pass counted (those that ``before`` let
     through) are left out.  The phrase without words holds the number of words."""
@@ -223,7 +230,7 @@ def _counter(lengths: set[int], known, before, bits: int):
                 if not len(w):
                     continue
                 seed, parts = _seed(lang), []
-                for k, (at, name, new) in enumerate(occurrences(w, piece, seed, now, old), 1):
+                for k, (at, name, new) in enumerate(occurrences(w, piece, seed, now, old, onward), 1):
                     if k not in lengths:
                         continue
                     at, name = at[new], name[new]
@@ -275,13 +282,13 @@ def _summed(least: int):
     return add
 
 
-def _counted(docs: DataFrame, least: int, lengths: set[int], known=None, before=None) -> DataFrame:
+def _counted(docs: DataFrame, least: int, lengths: set[int], known=None, before=None, onward: bool = False) -> DataFrame:
     """Exact counts of at least ``least``, and the number of words of each
     language.  Tasks add their counts up before the shuffle, which moves one
     packed table a bucket and not a row a phrase."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = parts.bit_length()  # one to two buckets a partition and language
-    packed = map_arrow(docs, _counter(lengths, known, before, bits), "lang string, bucket int, rows binary")
+    packed = map_arrow(docs, _counter(lengths, known, before, onward, bits), "lang string, bucket int, rows binary")
     return map_arrow(packed.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket"), _summed(least), _ROW)
 
 
@@ -353,8 +360,11 @@ def phrase_counts(docs: DataFrame, least: int = 30, share: float = 0.25, key: st
     if known is None:
         known = spark.sparkContext.broadcast(np.zeros(1 << (FILTER_BITS - 6), np.uint64))
     found = [stored(_counted(whole, least, set(range(1, LONGEST + 1)), known), "phrases")]
-    while (wider := _widened(spark, found[-1], known)) is not None:
-        found.append(stored(_counted(whole, least, set(range(2, LONGEST + 1)), wider, known), "phrases"))
+    onward = False
+    while not onward and (wider := _widened(spark, found[-1], known)) is not None:
+        more, most = (int(np.bitwise_count(x.value).sum()) for x in (wider, known))
+        onward = more - most <= FEW * most  # all that follows from the failures is counted: no failure is left
+        found.append(stored(_counted(whole, least, set(range(2, LONGEST + 1)), wider, known, onward), "phrases"))
         known = wider
     out = found[0]
     for more in found[1:]:
@@ -419,7 +429,10 @@ def _reader(known):
         for batch in batches:
             for lang, raw in _batches(batch):
                 w, _, start, end = words(raw)
-                h, first = np.unique(w, return_index=True)
+                order = np.argsort(w)  # equal hashes have the same word, so any place serves
+                h = w[order]
+                first = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1)) != 0)
+                h, first = h[first], order[first]
                 keep = now.has(mix64(h ^ _seed(lang)))
                 texts = [raw[start[i]:end[i]].lower().decode() for i in first[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(texts), pa.string()), pa.array(h[keep].view(np.int64)),
@@ -428,14 +441,23 @@ def _reader(known):
     return read
 
 
+def _ahead(found: DataFrame, top: int, order: list[Column]) -> DataFrame:
+    """The first ``top`` of each language; ties at the last place stay until
+    the spelling decides.  They are among the first of their part of the
+    language, so a language is ranked in parts before it is ranked whole."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = found.withColumn("_part", F.pmod(F.xxhash64(*WORDS), F.lit(parts)))
+    for keys in (["lang", "_part"], ["lang"]):
+        some = some.withColumn("_place", F.rank().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_place") <= top)
+    return some.drop("_part", "_place")
+
+
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: float = 0.25, key: str = "doc_id") -> DataFrame:
     """The ``top`` phrases of each language by score, count and spelling:
     lang, rank, phrase, a, l, r, n, score."""
     counts, _ = phrase_counts(docs, least, share, key)
     order = [F.desc("score"), F.desc("a")]
-    # ties at the last place stay until the spelling decides
-    ahead = scored(counts).withColumn("_place", F.rank().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("_place") <= top)
-    ahead = stored(ahead.drop("_place"), "collocations")
+    ahead = stored(_ahead(scored(counts), top, order), "collocations")
     asked = ahead.select("lang", F.struct(*WORDS).alias("p"), F.posexplode(F.array(*WORDS)).alias("i", "w")).filter("w <> 0")
     single = asked.select("lang", F.col("w").alias("w1"), *[F.lit(0).cast("long").alias(c) for c in WORDS[1:]]).distinct()
     known = _widened(docs.sparkSession, single, None)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankforge.llm import collocations
 from rankforge.llm.common import gives_back, table
@@ -189,3 +190,26 @@ def test_places_and_tables_of_phrases():
         assert not table[1 + k:-1].any()
         twice = C._added([table, table])
         assert (twice[:-1] == table[:-1]).all() and (twice[-1] == 2 * table[-1]).all()
+
+
+def test_few_failures_take_one_pass(spark):
+    """A phrase that the sample lacks altogether: word, pairs, triples and the
+    whole follow from each other, and one pass counts them all."""
+    every = texts(spark, random_rows(5, 400) + [("p q r s. ", "en")] * 40)
+    inside = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1000)) < 500
+    docs = every.filter(~F.col("text").startswith("p q") | ~inside)
+    counts, more = collocations.phrase_counts(docs, least=8, share=0.5)
+    grams, _ = counted([(r.text, r.lang) for r in docs.collect()])
+    got = sorted((r.lang, sum(x != 0 for x in r[1:5]), r.n) for r in counts.filter("w1 <> 0").collect())
+    assert got == sorted((lang, len(g), a) for lang, c in grams.items() for g, a in c.items() if a >= 8)
+    assert grams["en"]["p", "q", "r", "s"] >= 8
+    assert more == 1
+
+
+def test_a_language_is_ranked_in_parts(spark):
+    rows = [("en", i, i, 0, 0, i // 3, 1, 1, i // 3) for i in range(1, 400)] + [("de", i, i, 0, 0, 1, 1, 1, 1) for i in range(1, 9)]
+    found = spark.createDataFrame(rows, "lang string, w1 long, w2 long, w3 long, w4 long, a long, l long, r long, score long")
+    order = ["score", "a"]
+    got = collocations._ahead(found, 5, [found[c].desc() for c in order])
+    keep = {(r[0], r[1]) for r in rows if r[0] == "de" or r[8] >= 131}  # the fifth is tied
+    assert {(r.lang, r.w1) for r in got.collect()} == keep and got.columns == found.columns
