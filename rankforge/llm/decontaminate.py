@@ -134,9 +134,9 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["f", "n"])
 
-    got = map_arrow(texts, count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    got = map_arrow(texts, count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(FEATURES + 1, np.int64)
-    df[got["f"]] = got["n"]
+    df[got.column("f").to_numpy()] = got.column("n").to_numpy()
     return df[:FEATURES], int(df[FEATURES])
 
 
@@ -200,9 +200,10 @@ def gram_times(texts: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.nd
             [pa.array(at, pa.int32()), *(pa.array(total[at, j], pa.float64()) for j in range(rank))], names=["f", *names])
 
     got = (map_arrow(texts, multiply, "f int, " + ", ".join(f"{y} double" for y in names)).groupBy("f")
-           .agg(*[F.sum(y).alias(y) for y in names]).toPandas())  # FEATURES rows at most
-    out = np.zeros((FEATURES, rank))
-    out[got["f"]] = got[names].to_numpy(float)
+           .agg(*[F.sum(y).alias(y) for y in names]).toArrow())  # FEATURES rows at most
+    out, at = np.zeros((FEATURES, rank)), got.column("f").to_numpy()
+    for j, y in enumerate(names):
+        out[at, j] = got.column(y).to_numpy()
     shared.unpersist()
     return out * weight[:, None]
 

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,9 +157,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = 200,
         raise ValueError(f"more than {most} languages")
     totals = map_arrow(rows, count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counts = np.zeros((size + len(SCRIPTS), len(langs)))
-    got = totals.toPandas()  # at most languages x (2**16 + scripts) rows
-    if len(got):
-        counts[got["feature"], np.searchsorted(langs, got["lang"].to_numpy(str))] = got["n"]
+    got = totals.toArrow()  # at most languages x (2**16 + scripts) rows
+    if got.num_rows:
+        which = pc.index_in(got.column("lang"), pa.array(langs, pa.string()))
+        counts[got.column("feature").to_numpy(), which.to_numpy()] = got.column("n").to_numpy()
     grams, scripts = counts[:size] + 0.5, counts[size:]
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
     return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), share >= rare)

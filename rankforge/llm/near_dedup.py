@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, discard, mix64, row_mark, sliced, stored, text_or_empty, without_rows, word_hashes
+from .common import Pile, arrow, discard, mix64, row_mark, sliced, stored, text_or_empty, without_rows, word_hashes
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -180,8 +180,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
             .filter(both >= F.lit(similar) * (F.size("codes_a") + F.size("codes_b") - both)).select("a", "b"))
 
 
-def _bucket_links(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
-    """All links that decide the classes, from buckets (band, node, n, bits).
+def _bucket_classes(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
+    """Classes (node, cls) of the linked nodes, from buckets (band, node, n, bits).
 
     Every round: some members of a bucket (the smallest node of each slot)
     meet the members of other classes, then leave.  The first rounds take
@@ -189,8 +189,9 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFr
     that belong to it.  Later ones take those outside the largest class,
     until one class is left.
     """
-    links, cls, turn = None, None, 0
-    rest, tested, used = buckets, None, []
+    spark, cls, turn = buckets.sparkSession, None, 0
+    links, tested = Pile(spark, "links"), Pile(spark, "met")
+    rest, used = buckets, []
     while True:
         own = rest if cls is None else rest.join(cls, "node", "left")
         own = own.withColumn("cls", F.col("node") if cls is None else F.coalesce("cls", "node"))
@@ -201,7 +202,7 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFr
         for old in used:  # the rounds before are not read again
             discard(old)
         if own.isEmpty():
-            return links
+            return cls
         early = turn < len(EARLY)
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(EARLY[turn] if early else LEADERS))
         chosen = (own if early else own.filter("cls <> top")).groupBy("band", slot.alias("slot")).agg(
@@ -212,14 +213,12 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFr
                .filter((F.col("cls") != F.col("their")) & _close_sizes("n", "m", similar)
                        & ~_far_sketches("bits", "their_bits", similar, BANDS * ROWS))
                .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-        if tested is not None:  # a pair refuted in one bucket is not asked for again in another
-            met = met.join(tested, ["a", "b"], "left_anti")
-        met = stored(met, "met")
-        tested = met if tested is None else tested.union(met)
-        new = stored(_verified(met, sets, similar), "links")
+        if turn:  # a pair refuted in one bucket is not asked for again in another
+            met = met.join(tested.whole(), ["a", "b"], "left_anti")
+        met = tested.put(met)
+        new = links.put(_verified(met, sets, similar))
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            cls = components(links)
+            cls = components(links.whole())
         rest = (own.select("band", "node", "n", "bits")
                 .join(leaders.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti"))
         used = [own, leaders]
@@ -246,11 +245,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
              .select("node", F.col("words").alias("wanted"), "text"))
     sets = stored(shingle_sets(texts, ["node", "wanted"], "text").filter("words = wanted")
                   .select("node", "codes").dropDuplicates(["node"]), "shingle-sets")
-    links = _bucket_links(buckets, sets, similar)
-    if links is None:
+    linked = _bucket_classes(buckets, sets, similar)
+    if linked is None:
         classed = nodes.withColumn("cls", F.col("node"))
     else:
-        classed = nodes.join(components(links), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+        classed = nodes.join(linked, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     classed = stored(classed.select("words", "cls", "first", "size"), "classed")
     classes = classed.groupBy("cls").agg(F.min("first").alias("best"), F.sum("size").alias("class_size"))
     named = classed.join(classes, "cls").select("words", "best", "class_size")

@@ -169,3 +169,21 @@ def test_word_hashes_do_not_depend_on_the_place():
     assert counts.tolist() == [0, 0, 6, 1, 1, 1, 1, 1, 1]
     assert hashes[:6].tolist() == hashes[6:].tolist()
     assert hashes[1] == hashes[5] and len(set(hashes.tolist())) == 5
+
+
+def test_sums_of_features_reach_the_driver_as_columns(spark):
+    """A million sums, and no Python object for each of them, whatever the session does for pandas."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(10**6, size=2000)) for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    weight, basis = np.ones(dc.FEATURES), rng.standard_normal((dc.FEATURES, 64))
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    tracemalloc.start()
+    try:
+        got = dc.gram_times(docs, weight, basis)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert (got != 0).all(axis=1).sum() > 0.9 * dc.FEATURES
+    assert peak < 5 * basis.nbytes

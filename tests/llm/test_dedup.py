@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from rankforge.llm import exact_dedup, near_dedup
-from rankforge.llm.common import table, word_hashes
+from rankforge.llm.common import Pile, table, word_hashes
 from rankforge.llm.graph import components
 
 from .edges import ROWS, documents
@@ -197,3 +197,32 @@ def test_small_sketches_count_differing_registers(spark):
     row = df.select(near_dedup._far_sketches("a", "b", 0.8, 480).alias("near"), near_dedup._far_sketches("a", "b", 0.95, 480).alias("far"),
                     near_dedup._far_sketches("a", "c", 0.99, 480).alias("same")).first()
     assert (row.near, row.far, row.same) == (False, True, False)
+
+
+def test_links_of_all_rounds_are_one_scan(spark, monkeypatch):
+    """The plans on the driver don't grow with the rounds, and classes are found once a round."""
+    words, texts, leaves, found = [f"w{i}" for i in range(200)], [], [], []
+    for i in range(30):  # a chain: only neighbours are near copies
+        words[7 * i % 200] = f"x{i}"
+        words[(7 * i + 100) % 200] = f"y{i}"
+        texts.append(" ".join(words))
+    rows, verified = list(enumerate(texts)), near_dedup._verified
+
+    def watched(links):
+        leaves.append(links._jdf.queryExecution().analyzed().collectLeaves().size())
+        return components(links)
+
+    def counted(*asked):
+        links = verified(*asked)
+        found.append(not links.isEmpty())
+        return links
+
+    monkeypatch.setattr(near_dedup, "components", watched)
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    check_near(rows, near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert any(found) and leaves == [1] * sum(found)
+    pile = Pile(spark, "pile")
+    for i in range(3):
+        assert [r.id for r in pile.put(spark.range(i, i + 1)).collect()] == [i]
+    assert sorted(r.id for r in pile.whole().collect()) == [0, 1, 2]
+    assert pile.whole()._jdf.queryExecution().analyzed().collectLeaves().size() == 1
