@@ -101,3 +101,39 @@ def test_edge_rows(spark):
     assert by[1] == by[2] == by[8] == "" and by[3] == "<" and by[4] == "no markup < at > all" and by[6] == "never closed" and by[7] == "a"
     assert by[None] == "key" and by[5].count("\n") == 19_999
     assert pages.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def marked(n, lines, host="c.example"):
+    return (n, f"http://{host}/news/{n:03}.html", "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>")
+
+
+def test_articles_are_differenced_too(spark):
+    own = {n: [f"Report {n} begins with these words about town {n * 3}.", f"It ends on page {n} with the remark {n * 7}."] for n in range(12)}
+    rows = [marked(n, ["Read more on our site", *own[n], "Share this story"]) for n in range(9)]
+    quote = "A quotation that two reports have in common."
+    rows += [marked(20, [*own[9], quote], "d.example"), marked(21, [quote, *own[10]], "d.example"), marked(22, own[11], "d.example")]
+    versions = [f"Part {i} of a story that was printed three times." for i in range(6)]
+    rows += [marked(30 + i, [*versions, *(f"Addition {i}-{j} of another edition of it." for j in range(4))], "e.example") for i in range(3)]
+    for partitions in ("1", "3", "16"):  # pairs also lie across partitions
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = texts(spark, rows)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
+        for n in range(9):
+            assert got[n] == "\n".join(own[n])
+        assert got[20] == "\n".join([*own[9], quote]) and got[21] == "\n".join([quote, *own[10]])
+        assert all(got[30 + i].startswith("\n".join(versions)) and got[30 + i].count("\n") == 9 for i in range(3))
+
+
+def test_marked_pages_are_aligned(spark, monkeypatch):
+    rows = [marked(n, [f"Report {n}."]) for n in range(5)]
+    parsed = spark.createDataFrame(rows, SCHEMA).select("page_id", "url", "html")
+    df = pages.map_arrow(parsed, pages._parse, pages._PARSED)
+    assert {r.marked for r in df.collect()} == {True}
+    seen = []
+    aligned = pages.common_lines
+    monkeypatch.setattr(pages, "common_lines", lambda a, b: seen.append(1) or aligned(a, b))
+    found = [b for b in pages._along(iter(df.orderBy("path").select(*pages._PAGE, F.lit(0).alias("part")).toArrow().to_batches()))]
+    assert len(seen) == 4 and sum(b.num_rows for b in found) == 2  # the edges; nothing is shared
